@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["nested"]
+MODULES = ["nested", "text", "advantages"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
