@@ -93,7 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "p2_found": """
         WITH s AS (
-          SELECT seq_id, max(CASE WHEN attention_mask IS NULL THEN coalesce(len(input_ids), 0) ELSE len(list_filter(attention_mask, x -> x = 1)) END) AS length
+          SELECT seq_id, max(CASE WHEN attention_mask IS NULL THEN coalesce(len(input_ids), 0) ELSE len(list_filter(attention_mask, lambda x: x = 1)) END) AS length
           FROM sequences WHERE seq_id IS NOT NULL GROUP BY seq_id)
         SELECT pack_name, seq_id FROM s JOIN pack_limits ON length > capacity""",
     "p7_found": """
