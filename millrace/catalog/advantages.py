@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.catalog.base import Book, r6, read
+from millrace.catalog.base import Book, r9, read
 from millrace.operators import advantage as A
 
 book = Book()
@@ -23,11 +23,11 @@ def base(spark, sf) -> DataFrame:
 
 
 def est(name: str, run, sql: str) -> None:
-    book.add(f"adv_{name}", lambda spark, sf: run(base(spark, sf)).select("rid", r6(F.col("advantage")).alias("advantage")), f"{BASE}{STATS} {sql}")
+    book.add(f"adv_{name}", lambda spark, sf: run(base(spark, sf)).select("rid", r9(F.col("advantage")).alias("advantage")), f"{BASE}{STATS} {sql}")
 
 
 def sel(expr: str, frm: str = "g") -> str:
-    return f"SELECT rid, round({expr}, 6) + 0.0 AS advantage FROM {frm}"
+    return f"SELECT rid, round({expr}, 9) + 0.0 AS advantage FROM {frm}"
 
 
 _GRPO = "CASE WHEN n = 1 THEN score / (1 + 1e-6) ELSE (score - mean) / (std + 1e-6) END"
@@ -44,18 +44,18 @@ est("adpo", lambda b: A.adpo(b.withColumn("difficulty", F.col("score"))), sel(f"
 est("process_grpo", lambda b: A.process_grpo(b.withColumn("total_return", F.col("score"))), sel("(score - CASE WHEN n = 1 THEN 0.0 ELSE mean END) / CASE WHEN n = 1 OR sdp < 1e-6 THEN 1.0 ELSE sdp END"))
 book.add(
     "adv_group_stats",
-    lambda spark, sf: A.group_stats(base(spark, sf), "uid", "score").select("uid", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "std", "std_pop", "total")]),
-    BASE + " SELECT uid, count(*) AS n, round(avg(score), 6) + 0.0 AS mean, round(stddev_samp(score), 6) + 0.0 AS std, round(stddev_pop(score), 6) + 0.0 AS std_pop, round(sum(score), 6) + 0.0 AS total FROM b GROUP BY uid",
+    lambda spark, sf: A.group_stats(base(spark, sf), "uid", "score").select("uid", "n", *[r9(F.col(c)).alias(c) for c in ("mean", "std", "std_pop", "total")]),
+    BASE + " SELECT uid, count(*) AS n, round(avg(score), 9) + 0.0 AS mean, round(stddev_samp(score), 9) + 0.0 AS std, round(stddev_pop(score), 9) + 0.0 AS std_pop, round(sum(score), 9) + 0.0 AS total FROM b GROUP BY uid",
 )
 book.add(
     "adv_whiten",
-    lambda spark, sf: A.whiten(base(spark, sf), "score").select("rid", r6(F.col("whitened")).alias("whitened")),
-    BASE + ", t AS (SELECT avg(score) AS m, var_samp(score) AS v FROM b) SELECT rid, round((score - m) / sqrt(v + 1e-8), 6) + 0.0 AS whitened FROM b, t",
+    lambda spark, sf: A.whiten(base(spark, sf), "score").select("rid", r9(F.col("whitened")).alias("whitened")),
+    BASE + ", t AS (SELECT avg(score) AS m, var_samp(score) AS v FROM b) SELECT rid, round((score - m) / sqrt(v + 1e-8), 9) + 0.0 AS whitened FROM b, t",
 )
 book.add(
     "adv_whiten_masked_keep_mean",
-    lambda spark, sf: A.whiten(base(spark, sf).withColumn("m", (F.col("rid") % 2).cast("int")), "score", "m", shift_mean=False).select("rid", r6(F.col("whitened")).alias("whitened")),
-    BASE + ", t AS (SELECT avg(score) AS m, var_samp(score) AS v FROM b WHERE rid % 2 = 1) SELECT rid, round((score - m) / sqrt(v + 1e-8) + m, 6) + 0.0 AS whitened FROM b, t",
+    lambda spark, sf: A.whiten(base(spark, sf).withColumn("m", (F.col("rid") % 2).cast("int")), "score", "m", shift_mean=False).select("rid", r9(F.col("whitened")).alias("whitened")),
+    BASE + ", t AS (SELECT avg(score) AS m, var_samp(score) AS v FROM b WHERE rid % 2 = 1) SELECT rid, round((score - m) / sqrt(v + 1e-8) + m, 9) + 0.0 AS whitened FROM b, t",
 )
 # ---- preference of adjacent pairs
 book.add(
@@ -88,11 +88,11 @@ def tokens(spark, sf) -> DataFrame:
 def _digest(c, sf=None):
     """First, last and sum of an array: enough to tell two arrays apart in a comparison."""
     total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return [F.size(c).cast("long").alias("n"), r6(F.try_element_at(c, F.lit(1)).cast("double")).alias("first"), r6(F.try_element_at(c, F.lit(-1)).cast("double")).alias("last"), F.round(total, 4).alias("total")]
+    return [F.size(c).cast("long").alias("n"), r9(F.try_element_at(c, F.lit(1)).cast("double")).alias("first"), r9(F.try_element_at(c, F.lit(-1)).cast("double")).alias("last"), F.round(total, 4).alias("total")]
 
 
 def _dsql(expr: str, frm: str = "x") -> str:
-    return f"SELECT seq_id, len({expr}) AS n, round(CAST({expr}[1] AS DOUBLE), 6) + 0.0 AS first, round(CAST({expr}[-1] AS DOUBLE), 6) + 0.0 AS last, round(CAST(list_sum({expr}) AS DOUBLE), 4) AS total FROM {frm}"
+    return f"SELECT seq_id, len({expr}) AS n, round(CAST({expr}[1] AS DOUBLE), 9) + 0.0 AS first, round(CAST({expr}[-1] AS DOUBLE), 9) + 0.0 AS last, round(CAST(list_sum({expr}) AS DOUBLE), 4) AS total FROM {frm}"
 
 
 def tok(name: str, make, sql: str) -> None:
@@ -110,7 +110,7 @@ tok("response_mask_before", lambda: A.response_mask_before(F.transform(ids, lamb
 tok("position_ids", lambda: A.position_ids(m), EXP + ", w AS (SELECT seq_id, t, greatest(sum(m) OVER (PARTITION BY seq_id ORDER BY t) - 1, 0) AS y FROM e), x AS (SELECT seq_id, list(y ORDER BY t) AS y FROM w GROUP BY seq_id) " + _dsql("y"))
 tok("position_ids_masked", lambda: A.position_ids_masked(m), EXP + ", w AS (SELECT seq_id, t, (sum(m) OVER (PARTITION BY seq_id ORDER BY t) - 1) * m AS y FROM e), x AS (SELECT seq_id, list(y ORDER BY t) AS y FROM w GROUP BY seq_id) " + _dsql("y"))
 bits = "list_transform(ids, lambda q: CAST(q % 3 = 0 AS INT))"
-tok("run_ends", lambda: A.run_ends(F.transform(ids, lambda x: (x % 3 == 0).cast("int"))), f"z AS (SELECT seq_id, {bits} AS k FROM s), e AS (SELECT seq_id, unnest(k) AS k, unnest(range(len(k))) AS t FROM z), w AS (SELECT seq_id, t, k, lead(k, 1, 0) OVER (PARTITION BY seq_id ORDER BY t) AS nx FROM e), x AS (SELECT z.seq_id, coalesce(list(t ORDER BY t) FILTER (WHERE w.k = 1 AND nx = 0), []) AS y FROM z LEFT JOIN w ON z.seq_id = w.seq_id GROUP BY z.seq_id) SELECT seq_id, len(y) AS n, round(CAST(y[1] AS DOUBLE), 6) + 0.0 AS first, round(CAST(y[-1] AS DOUBLE), 6) + 0.0 AS last, round(coalesce(CAST(list_sum(y) AS DOUBLE), 0.0), 4) AS total FROM x")
+tok("run_ends", lambda: A.run_ends(F.transform(ids, lambda x: (x % 3 == 0).cast("int"))), f"z AS (SELECT seq_id, {bits} AS k FROM s), e AS (SELECT seq_id, unnest(k) AS k, unnest(range(len(k))) AS t FROM z), w AS (SELECT seq_id, t, k, lead(k, 1, 0) OVER (PARTITION BY seq_id ORDER BY t) AS nx FROM e), x AS (SELECT z.seq_id, coalesce(list(t ORDER BY t) FILTER (WHERE w.k = 1 AND nx = 0), []) AS y FROM z LEFT JOIN w ON z.seq_id = w.seq_id GROUP BY z.seq_id) SELECT seq_id, len(y) AS n, round(CAST(y[1] AS DOUBLE), 9) + 0.0 AS first, round(CAST(y[-1] AS DOUBLE), 9) + 0.0 AS last, round(coalesce(CAST(list_sum(y) AS DOUBLE), 0.0), 4) AS total FROM x")
 RUNS = f"z AS (SELECT seq_id, {bits} AS k FROM s), e AS (SELECT seq_id, unnest(k) AS k, unnest(range(len(k))) AS t FROM z), w AS (SELECT seq_id, t, k, CAST(k = 1 AND lag(k, 1, 0) OVER (PARTITION BY seq_id ORDER BY t) = 0 AS INT) AS st FROM e), u AS (SELECT seq_id, t, k, sum(st) OVER (PARTITION BY seq_id ORDER BY t) AS run, sum(st) OVER (PARTITION BY seq_id) AS runs FROM w)"
 tok("run_discount", lambda: A.run_discount(F.transform(ids, lambda x: (x % 3 == 0).cast("int")), F.lit(2.0), 0.9), RUNS + ", x AS (SELECT seq_id, list(CASE WHEN k = 1 THEN 2.0 * power(0.9, runs - run) ELSE 0.0 END ORDER BY t) AS y FROM u GROUP BY seq_id) " + _dsql("y"))
 book.add("tok_n_actions", lambda spark, sf: tokens(spark, sf).select("seq_id", A.n_actions(F.transform("ids", lambda x: (x % 3 == 0).cast("int"))).alias("n")), f"{TOK}, {RUNS} SELECT seq_id, CAST(max(runs) AS BIGINT) AS n FROM u GROUP BY seq_id")
@@ -120,9 +120,9 @@ def fold(name: str, make, init: str, step: str, pick: str, arrays: str) -> None:
     """A backward recursion in SQL: list_reduce over reversed structs, the state keeps the running total of what comes out."""
     book.add(
         f"tok_{name}",
-        lambda spark, sf: tokens(spark, sf).select("seq_id", F.round(F.aggregate(make(), F.lit(0.0), lambda a, x: a + x), 4).alias("total"), r6(F.element_at(make(), 1)).alias("first")),
+        lambda spark, sf: tokens(spark, sf).select("seq_id", F.round(F.aggregate(make(), F.lit(0.0), lambda a, x: a + x), 4).alias("total"), r9(F.element_at(make(), 1)).alias("first")),
         f"""{TOK}, z AS (SELECT seq_id, list_prepend({init}, list_reverse({arrays})) AS q FROM s),
-        y AS (SELECT seq_id, list_reduce(q, lambda s, x: {step}) AS st FROM z) SELECT seq_id, round(st.tot, 4) AS total, round(st.{pick}, 6) + 0.0 AS first FROM y""",
+        y AS (SELECT seq_id, list_reduce(q, lambda s, x: {step}) AS st FROM z) SELECT seq_id, round(st.tot, 4) AS total, round(st.{pick}, 9) + 0.0 AS first FROM y""",
     )
 
 

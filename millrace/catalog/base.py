@@ -37,6 +37,6 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def r6(c: Column) -> Column:
+def r9(c: Column) -> Column:
     """Rounded for comparison; -0 becomes 0."""
-    return F.round(c, 6) + F.lit(0.0)
+    return F.round(c, 9) + F.lit(0.0)

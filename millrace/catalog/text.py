@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.catalog.base import Book, r6, read
+from millrace.catalog.base import Book, r9, read
 from millrace.functions import answers as A
 
 book = Book()
@@ -38,7 +38,7 @@ col("code_blocks", lambda: F.array_join(A.code_blocks(T), "|"), r"array_to_strin
 col("sql_text", lambda: A.sql_text(T), r"replace(replace(replace(trim(coalesce(regexp_extract_all(responses, '(?s)```sql\s*(.*?)```', 1)[-1], regexp_extract_all(responses, '(?s)<sql>(.*?)</sql>', 1)[-1], regexp_extract_all(responses, '(?s)<solution>(.*?)</solution>', 1)[-1], responses), ' '), '> =', '>='), '< =', '<='), '! =', '!=')")
 col("current_year", lambda: A.current_year(F.concat(T, F.lit(" YEAR(CURDATE())"))), r"regexp_replace(responses || ' YEAR(CURDATE())', '(?i)YEAR\s*\(\s*CURDATE\s*\(\s*\)\s*\)', '2020', 'g')")
 _PUNCT = "regexp_replace({t}, '[[:punct:]]', '', 'g')"
-_PLAIN = r"trim(regexp_replace(regexp_replace(" + _PUNCT.format(t="lower({t})") + r", '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+_PLAIN = r"array_to_string(list_filter(regexp_split_to_array(" + _PUNCT.format(t="lower({t})") + r", '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 
 
 def _plain(t: str) -> str:
@@ -55,16 +55,16 @@ book.column("text_mend_slash", "tool_outputs", "output_id", lambda: A.mend_slash
 col("mend_roots", lambda: A.mend_roots(F.concat(F.lit("\\sqrt"), T)), r"regexp_replace('\sqrt' || responses, '\\sqrt([0-9a-z])', '\\sqrt{\1}', 'g')")
 col("without_units", lambda: A.without_units(F.concat(T, F.lit("\\text{ cm}"))), r"CASE WHEN len(regexp_extract_all(responses || '\text{ cm}', '\\text\{ ')) = 1 THEN string_split(responses || '\text{ cm}', '\text{ ')[1] ELSE responses || '\text{ cm}' END")
 col("key", lambda: A.answer_key(F.col("pred")), r"regexp_replace(trim(regexp_replace(replace(trim(lower(pred)), '$', ''), '\s+', ' ', 'g')), '[.,;:]+$', '', 'g')")
-book.column("text_number_in", "tool_outputs", "output_id", lambda: r6(A.number_in(F.col("result"))), r"""round(CASE
-  WHEN regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*%', 1) <> '' THEN CAST(regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*%', 1) AS DOUBLE) / 100.0 END, 6)""".replace("round(CASE", "(SELECT round(CASE").replace("END, 6)", r"""WHEN regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*/\s*(-?[0-9]+\.?[0-9]*)', 2) <> '' AND coalesce(TRY_CAST(regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*/\s*(-?[0-9]+\.?[0-9]*)', 2) AS DOUBLE), 0) <> 0
+book.column("text_number_in", "tool_outputs", "output_id", lambda: r9(A.number_in(F.col("result"))), r"""round(CASE
+  WHEN regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*%', 1) <> '' THEN CAST(regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*%', 1) AS DOUBLE) / 100.0 END, 9)""".replace("round(CASE", "(SELECT round(CASE").replace("END, 9)", r"""WHEN regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*/\s*(-?[0-9]+\.?[0-9]*)', 2) <> '' AND coalesce(TRY_CAST(regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*/\s*(-?[0-9]+\.?[0-9]*)', 2) AS DOUBLE), 0) <> 0
     THEN TRY_CAST(regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*/\s*(-?[0-9]+\.?[0-9]*)', 1) AS DOUBLE) / TRY_CAST(regexp_extract(t, '(-?[0-9]+\.?[0-9]*)\s*/\s*(-?[0-9]+\.?[0-9]*)', 2) AS DOUBLE)
-  WHEN regexp_extract(t, '-?[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?') <> '' THEN CAST(regexp_extract(t, '-?[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?') AS DOUBLE) END, 6) FROM (SELECT replace(trim(result), ',', '') AS t))"""), "tool_name = 'calculator'")
+  WHEN regexp_extract(t, '-?[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?') <> '' THEN CAST(regexp_extract(t, '-?[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?') AS DOUBLE) END, 9) FROM (SELECT replace(trim(result), ',', '') AS t))"""), "tool_name = 'calculator'")
 col("think_box_format", lambda: A.think_box_format(T), r"CAST(regexp_matches(responses, '(?s)^<think>.*</think>.*\\boxed\{.*\}.*$') AS DOUBLE)")
 col("closes_think", lambda: A.closes_think(T), "CAST(contains(responses, '</think>') AS INT)")
 col("solver_format", lambda: A.solver_format(T), r"regexp_matches(responses, '(?s)<think>.*</think>') AND regexp_matches(responses, 'CONFIDENCE:\s*[0-9.]+') AND contains(responses, 'FINAL_ANSWER:')")
 _BAD = " OR ".join(f"contains(responses, '{w} {m}')" for m in A.FORBIDDEN_MODULES for w in ("import", "from")) + " OR " + " OR ".join(f"contains(responses, '{m}')" for m in A.FORBIDDEN_CALLS)
 col("forbidden_code", lambda: A.has_forbidden_code(T), f"({_BAD})")
-col("tool_reward", lambda: r6(A.tool_reward(T)), "round(least(len(regexp_extract_all(responses, '```output')), 4) * 0.05, 6)", where="responses IS NOT NULL")
+col("tool_reward", lambda: r9(A.tool_reward(T)), "round(least(len(regexp_extract_all(responses, '```output')), 4) * 0.05, 9)", where="responses IS NOT NULL")
 book.column("text_is_provable", R, K, lambda: A.is_provable(F.col("prompts"), T), "NOT (contains(prompts, '证明') OR contains(lower(prompts), 'box') OR contains(lower(responses), 'text'))")
 for _w in A.REFLECTION:
     book.column(f"text_reflection_{_w.replace(' ', '_')}", "documents", "doc_id", lambda w=_w: F.element_at(A.reflection_counts(F.col("text")), w).cast("long"), rf"len(regexp_extract_all(lower(text), '\b{_w}\b'))", "text IS NOT NULL")
@@ -74,12 +74,12 @@ book.column("text_match_answer_pred", R, K, lambda: A.key_match(F.coalesce(A.box
 
 
 def _set_f1(spark, sf):
-    return read(spark, sf, R).where("prompts IS NOT NULL AND responses IS NOT NULL").select(K, r6(A.set_f1(A.token_set(F.col("prompts")), A.token_set(T))).alias("value"))
+    return read(spark, sf, R).where("prompts IS NOT NULL AND responses IS NOT NULL").select(K, r9(A.set_f1(A.token_set(F.col("prompts")), A.token_set(T))).alias("value"))
 
 
 _TOK = r"list_distinct(list_filter(regexp_split_to_array(lower(" + _PUNCT.format(t="{t}") + r"), '\s+'), lambda x: x <> ''))"
 book.add("text_set_f1", _set_f1, f"""WITH t AS (SELECT rollout_id, {_TOK.replace('{t}', 'prompts')} AS a, {_TOK.replace('{t}', 'responses')} AS b FROM rollouts WHERE prompts IS NOT NULL AND responses IS NOT NULL),
   n AS (SELECT rollout_id, a, b, len(list_intersect(a, b)) AS n FROM t)
-  SELECT rollout_id, round(CASE WHEN n > 0 THEN 2.0 * n / (len(a) + len(b)) ELSE 0.0 END, 6) AS value FROM n""")
+  SELECT rollout_id, round(CASE WHEN n > 0 THEN 2.0 * n / (len(a) + len(b)) ELSE 0.0 END, 9) AS value FROM n""")
 
 QUERIES, SQL = book.queries, book.sql

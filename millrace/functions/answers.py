@@ -126,8 +126,8 @@ def without_punctuation(text: Column) -> Column:
 
 def plain_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no English articles, single spaces."""
-    x = F.regexp_replace(without_punctuation(F.lower(text)), r"\b(a|an|the)\b", " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    words = F.split(without_punctuation(F.lower(text)), r"\s+")
+    return F.array_join(F.filter(words, lambda w: ~w.isin("", "a", "an", "the")), " ")
 
 
 def exact_any(prediction: Column, gold: Column) -> Column:
