@@ -89,15 +89,14 @@ add("turn_routes", lambda s, f: read(s, f, "rollouts").where("responses is not n
 # ---- streams: driven to completion over the whole table
 def _stream(s, f, make, mode):
     name = f"s{uuid.uuid4().hex}"
-    ev = s.readStream.schema(read(s, f, EV).schema).option("pathGlobFilter", "events.parquet").parquet(f)
-    q = make(ev).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(s)}/millrace/{name}").start()
-    q.processAllAvailable()
-    q.stop()
+    ev = s.readStream.schema(read(s, f, EV).schema).option("pathGlobFilter", "events.parquet").parquet(f).withColumn("ts", F.col("ts").cast("timestamp"))
+    q = make(ev).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(s)}/millrace/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
     return s.table(name)
 
 
 add("stream_turn_states", lambda s, f: _stream(s, f, T.turn_states, "update").groupBy("user_id").agg(F.max("turns").alias("turns"), F.max("finished").alias("finished")))
-add("stream_window_counts", lambda s, f: _stream(s, f, T.windowed_counts, "complete").select("start", "event_type", "n"), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+add("stream_window_counts", lambda s, f: _stream(s, f, T.windowed_counts, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 add("stream_first_deliveries", lambda s, f: _stream(s, f, lambda e: T.first_deliveries(e, "event_id", "ts"), "append").agg(F.count("*").alias("n")), "SELECT count(DISTINCT event_id) AS n FROM events")
 # ---- sequential operators
 add("custom_balanced_parts", lambda s, f: custom.balanced_parts(read(s, f, "sequences").select("seq_id", F.size("input_ids").alias("n")).distinct().withColumn("batch", F.pmod("seq_id", F.lit(20))), "batch", "seq_id", "n", 4).groupBy("batch", "part").agg(F.count("*").alias("rows")))

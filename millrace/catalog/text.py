@@ -25,7 +25,7 @@ col("boxed_last", lambda: A.boxed_last(T), f"{_all(BOX)}[-1]")
 col("hash_answer", lambda: A.hash_answer(T), "regexp_replace(regexp_extract_all(responses, '#### (-?[0-9.,$]*[0-9])', 1)[-1], '[,$]', '', 'g')")
 col("hash_answer_first", lambda: A.hash_answer_first(T), "replace(regexp_extract_all(responses, '#### (-?[0-9.,]+)', 1)[1], ',', '')")
 col("number_flexible", lambda: A.number_flexible(T), """coalesce(list_filter(regexp_extract_all(responses, '(-?[0-9.,]+)', 1), lambda x: x NOT IN ('', '.'))[-1], regexp_extract_all(responses, '(-?[0-9.,]+)', 1)[1])""")
-col("answer_tag", lambda: A.tagged_last(T, "answer"), "trim(regexp_extract_all(responses, '(?s)<answer>(.*?)</answer>', 1)[-1])")
+col("answer_tag", lambda: A.tagged_last(T, "answer"), r"regexp_replace(regexp_extract_all(responses, '(?s)<answer>(.*?)</answer>', 1)[-1], '^\s+|\s+$', '', 'g')")
 col("answer_tags_open", lambda: A.answer_tags(T)["opening"].cast("long"), "len(regexp_extract_all(responses, '<answer>'))")
 col("answer_tags_close", lambda: A.answer_tags(T)["closing"].cast("long"), "len(regexp_extract_all(responses, '</answer>'))")
 col("answer_line", lambda: A.answer_line(T), r"coalesce(regexp_extract_all(responses, '(?i)Answer\s*:\s*([^\n]+)', 1)[-1], '[INVALID]')")
@@ -34,8 +34,8 @@ col("final_answer", lambda: A.final_answer(T), r"coalesce(trim(regexp_extract_al
 col("confidence", lambda: A.confidence(T, 0.5), r"(SELECT CASE WHEN x IS NULL THEN 0.5 WHEN x < 0 THEN 0.0 WHEN x > 1 THEN 1.0 ELSE x END FROM (SELECT TRY_CAST(regexp_extract_all(responses, 'CONFIDENCE:\s*(-?[0-9]*\.?[0-9]+)', 1)[-1] AS DOUBLE) AS x))")
 col("think_blocks", lambda: F.array_join(A.think_blocks(T), "|"), "array_to_string(regexp_extract_all(responses, '(?s)<think>(.*?)</think>', 1), '|')")
 col("n_steps", lambda: A.n_steps(T).cast("long"), "greatest(len(regexp_extract_all(responses, '(?s)<think>(.*?)</think>', 1)), 1)", where="responses IS NOT NULL")
-col("code_blocks", lambda: F.array_join(A.code_blocks(T), "|"), r"array_to_string(list_filter(list_transform(regexp_extract_all(responses, '(?s)```(?:python)?\n(.*?)```', 1), lambda x: trim(x)), lambda x: x <> ''), '|')", where="responses IS NOT NULL")
-col("sql_text", lambda: A.sql_text(T), r"replace(replace(replace(trim(coalesce(regexp_extract_all(responses, '(?s)```sql\s*(.*?)```', 1)[-1], regexp_extract_all(responses, '(?s)<sql>(.*?)</sql>', 1)[-1], regexp_extract_all(responses, '(?s)<solution>(.*?)</solution>', 1)[-1], responses), ' '), '> =', '>='), '< =', '<='), '! =', '!=')")
+col("code_blocks", lambda: F.array_join(A.code_blocks(T), "|"), r"array_to_string(list_filter(list_transform(regexp_extract_all(responses, '(?s)```(?:python)?\n(.*?)```', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|')", where="responses IS NOT NULL")
+col("sql_text", lambda: A.sql_text(T), r"replace(replace(replace(regexp_replace(coalesce(regexp_extract_all(responses, '(?s)```sql\s*(.*?)```', 1)[-1], regexp_extract_all(responses, '(?s)<sql>(.*?)</sql>', 1)[-1], regexp_extract_all(responses, '(?s)<solution>(.*?)</solution>', 1)[-1], responses), '^\s+|\s+$', '', 'g'), '> =', '>='), '< =', '<='), '! =', '!=')")
 col("current_year", lambda: A.current_year(F.concat(T, F.lit(" YEAR(CURDATE())"))), r"regexp_replace(responses || ' YEAR(CURDATE())', '(?i)YEAR\s*\(\s*CURDATE\s*\(\s*\)\s*\)', '2020', 'g')")
 _PUNCT = "regexp_replace({t}, '[[:punct:]]', '', 'g')"
 _PLAIN = r"array_to_string(list_filter(regexp_split_to_array(" + _PUNCT.format(t="lower({t})") + r", '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"

@@ -24,6 +24,10 @@ def last(items: Column) -> Column:
     return F.try_element_at(items, F.lit(-1))
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -59,7 +63,7 @@ def number_flexible(text: Column) -> Column:
 
 def tagged_last(text: Column, tag: str) -> Column:
     """Last <tag>...</tag>, stripped."""
-    return F.trim(last(every(text, rf"(?s)<{tag}>(.*?)</{tag}>")))
+    return strip(last(every(text, rf"(?s)<{tag}>(.*?)</{tag}>")))
 
 
 def answer_tags(text: Column) -> Column:
@@ -102,13 +106,13 @@ def n_steps(text: Column) -> Column:
 
 def code_blocks(text: Column) -> Column:
     """Non-empty fenced code blocks, stripped."""
-    return F.filter(F.transform(every(text, r"(?s)```(?:python)?\n(.*?)```"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(every(text, r"(?s)```(?:python)?\n(.*?)```"), strip), lambda x: x != "")
 
 
 def sql_text(text: Column) -> Column:
     """Last ```sql block, else last <sql>, else last <solution>, else the text; split comparison signs are mended."""
     found = F.coalesce(*[last(every(text, p)) for p in (r"(?s)```sql\s*(.*?)```", r"(?s)<sql>(.*?)</sql>", r"(?s)<solution>(.*?)</solution>")], text)
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), ((">" + " =", ">="), ("<" + " =", "<="), ("!" + " =", "!=")), F.trim(found))
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), ((">" + " =", ">="), ("<" + " =", "<="), ("!" + " =", "!=")), strip(found))
 
 
 def current_year(query: Column, year: int = 2020) -> Column:

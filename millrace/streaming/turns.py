@@ -75,11 +75,12 @@ STATE = "turns int, total double, finished boolean"
 OUT = "user_id long, turns int, total double, finished boolean"
 
 
-def turn_states(stream: DataFrame, most_turns: int = 1_000, done_type: str = "purchase", timeout_ms: int = 3_600_000) -> DataFrame:
+def turn_states(stream: DataFrame, most_turns: int = 1_000, done_type: str = "purchase", timeout_ms: int | None = None) -> DataFrame:
     """Running state of each trajectory of a stream of (user_id, event_type, value).
 
     Ends on the done event or the turn limit; later events of an ended trajectory
-    are ignored.  State is evicted after the time-out.  The rows of a key arrive
+    are ignored.  With a time-out, state is evicted that long after a key's last event
+    (such a stream never comes to an end by itself).  The rows of a key arrive
     in batches, so a hot key never has to fit into one frame.
     """
 
@@ -96,10 +97,11 @@ def turn_states(stream: DataFrame, most_turns: int = 1_000, done_type: str = "pu
                 total += float(value) if value == value else 0.0
                 finished = kind == done_type or turns >= most_turns
         state.update((turns, total, finished))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"user_id": [key[0]], "turns": [turns], "total": [total], "finished": [finished]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(stream: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
