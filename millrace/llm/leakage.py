@@ -16,7 +16,8 @@ the hidden ones are put into further signature layers until none is left, so no
 document shingle is lost and the search is complete.  Candidates are verified
 word by word, not by hash.
 
-Nulls: a null or blank text or question has no words and gives no row.  Ties
+Nulls: a null or blank text or question has no words and gives no row, nor does
+a row with a null id.  Ties
 and repeated rows: (doc_id, item_id) comes out once.  Empty tables give an empty
 result.  Extra columns are ignored.
 """
@@ -105,7 +106,7 @@ def leaked_items(
 ) -> DataFrame:
     """(doc_id, item_id, shared_runs, containment) of every document and item that share a run of words."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     items = written(
         items.select(F.col(item_id).cast("long").alias("item_id"), F.col(question).alias("question"))
         .where("item_id is not null and question is not null")

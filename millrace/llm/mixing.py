@@ -11,7 +11,7 @@ budget's documents are a subset of a larger budget's.
 A source that must give more than it holds is repeated: floor(budget / tokens)
 whole passes, at most max_repeats in all, and a threshold for the rest.
 
-Nulls: null and blank texts count zero tokens and are chosen like others.  A
+Nulls: rows without doc_id are left out; null and blank texts count zero tokens and are chosen like others.  A
 document without source takes part in the total only.  A target whose source
 has no document is reported with zero tokens.  Shares and budgets that are null
 count as zero.  Repeated rows of a document count once.
@@ -59,7 +59,7 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
             n = [len(enc.encode_ordinary(t)) if t and not t.isspace() else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
 
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).where("doc_id is not null")
     sized = base.mapInArrow(sizes, "doc_id long, source string, tokens long")
     # h is uniform on 0 .. 2**60 - 1; a later delivery of a document has the same h
     return sized.groupBy("doc_id").agg(F.min_by("source", F.struct("tokens", "source")).alias("source"), F.min("tokens").alias("tokens")).select(
