@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.catalog.base import Book, r9, read
 from millrace.operators import advantage as A
 
-book = Book()
+book = Book(globals(), r="r", v="v", m="m", ids="ids")
 
 #: One row for each scored response.
 BASE = "WITH b AS (SELECT DISTINCT rollout_id AS rid, uid, data_source, score, step, length(responses) AS length, length(prompts) % 5 AS n_actions FROM rollouts WHERE uid IS NOT NULL AND score IS NOT NULL AND responses IS NOT NULL)"
@@ -101,7 +101,6 @@ def tok(name: str, make, sql: str) -> None:
 
 #: Window forms of the recursions on exploded tokens.
 EXP = "e AS (SELECT seq_id, unnest(r) AS r, unnest(v) AS v, unnest(m) AS m, unnest(ids) AS id, unnest(range(len(r))) AS t FROM s)"
-r, v, m, ids = (F.col(c) for c in ("r", "v", "m", "ids"))
 tok("reverse_cumsum", lambda: A.reverse_cumsum(r), EXP + ", w AS (SELECT seq_id, t, sum(r) OVER (PARTITION BY seq_id ORDER BY t DESC) AS y FROM e), x AS (SELECT seq_id, list(y ORDER BY t) AS y FROM w GROUP BY seq_id) " + _dsql("y"))
 tok("remax", lambda: A.remax(r, F.lit(0.5), m), EXP + ", w AS (SELECT seq_id, t, (sum(r * m) OVER (PARTITION BY seq_id ORDER BY t DESC) - 0.5) * m AS y FROM e), x AS (SELECT seq_id, list(y ORDER BY t) AS y FROM w GROUP BY seq_id) " + _dsql("y"))
 tok("remax_scalar", lambda: A.remax_scalar(r, F.lit(0.5), m), "x AS (SELECT seq_id, list_transform(m, lambda q: (list_sum(r) - 0.5) * q) AS y FROM s) " + _dsql("y"))

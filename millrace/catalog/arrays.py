@@ -8,8 +8,7 @@ from millrace.catalog.advantages import TOK, tokens
 from millrace.catalog.base import Book, r9, read
 from millrace.functions import arrays as X
 
-book = Book()
-ids, m = F.col("ids"), F.col("m")
+book = Book(globals(), **{c: c for c in ("ids", "m", "a", "b", "adv", "v", "ret")})
 
 
 def seq(name: str, make, sql: str) -> None:
@@ -46,7 +45,6 @@ def lp(spark, sf):
     return L.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), (F.col("l_discount") * 2).alias("a"), (F.col("l_tax") * 3).alias("b"), (F.col("l_quantity") / 50 - 0.5).alias("adv"), (F.col("l_extendedprice") / 100000).alias("v"), (F.col("l_discount") * 10).alias("ret"))
 
 
-a, b, adv, v, ret = (F.col(c) for c in ("a", "b", "adv", "v", "ret"))
 
 
 def row(name: str, make, sql: str) -> None:
@@ -84,7 +82,7 @@ def logits(spark, sf):
 Z = "(list_max(x) + ln(list_sum(list_transform(x, lambda q: exp(q - list_max(x))))))"
 book.add("dist_entropy", lambda s, f: logits(s, f).select("vec_id", F.round(X.entropy(F.col("x")), 7).alias("value")), f"{LG}, z AS (SELECT vec_id, x, {Z} AS z FROM e) SELECT vec_id, round(z - list_sum(list_transform(x, lambda q: exp(q - z) * q)), 7) AS value FROM z")
 book.add("dist_log_prob", lambda s, f: logits(s, f).select("vec_id", F.round(X.log_prob(F.col("x"), F.col("label")), 7).alias("value")), f"{LG} SELECT vec_id, round(x[label + 1] - {Z}, 7) AS value FROM e")
-book.add("dist_full_kl", lambda s, f: logits(s, f).select("vec_id", F.round(X.full_kl(F.transform("x", lambda q: q - X.log_sum_exp(F.col("x"))), F.transform("x", lambda q: F.lit(-4.0))), 7).alias("value")),
+book.add("dist_full_kl", lambda s, f: logits(s, f).select("vec_id", F.round(X.full_kl(X.let(X.log_sum_exp(F.col("x")), lambda z: F.transform(F.col("x"), lambda q: q - z)), F.transform("x", lambda q: F.lit(-4.0))), 7).alias("value")),
          f"{LG}, z AS (SELECT vec_id, x, {Z} AS z FROM e) SELECT vec_id, round(list_sum(list_transform(x, lambda q: exp(q - z) * (q - z + 4.0))), 7) AS value FROM z")
 # ---- schedules over order keys as steps
 ST = "SELECT o_orderkey, round({x}, 9) + 0.0 AS value FROM (SELECT o_orderkey, o_orderkey % 1000 AS t FROM orders)"

@@ -11,17 +11,35 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Book:
-    def __init__(self) -> None:
+    """Queries and SQL of one module.
+
+    space and names: variables of the module that stand for columns.  They are
+    bound when a query runs, as columns need a running session and modules must
+    be importable without one.
+    """
+
+    def __init__(self, space: dict | None = None, **names: str) -> None:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
+        self.space, self.names = space, names
+        if space is not None:
+            space.update(dict.fromkeys(names))
 
     def add(self, name: str, query: Query, sql: str | None = None) -> None:
         if name in self.queries:
             raise ValueError(name)
-        self.queries[name] = query
+        self.queries[name] = self._bound(query)
         if sql:
             self.sql[name] = sql
 
+    def _bound(self, query: Query) -> Query:
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            if self.space is not None:
+                self.space.update({k: F.col(c) for k, c in self.names.items()})
+            return query(spark, sf)
+
+        return run
+
     def column(self, name: str, table: str, key: str, make: Callable[[], Column], sql: str, where: str | None = None) -> None:
         """A scalar over a whole table: key and value."""
 

@@ -6,6 +6,7 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from millrace.catalog.advantages import BASE, base
 from millrace.catalog.base import Book, r9, read
@@ -105,7 +106,7 @@ add("custom_cluster_shares", lambda s, f: custom.cluster_shares(read(s, f, "eval
 add("custom_first_match_groups", lambda s, f: custom.first_match_groups(read(s, f, "rollouts").where("uid is not null").select("uid", "rollout_id", "pred").distinct(), "uid", "rollout_id", "pred").groupBy("uid").agg(F.countDistinct("representative").alias("groups")), "SELECT uid, count(DISTINCT pred) AS groups FROM rollouts WHERE uid IS NOT NULL AND pred IS NOT NULL AND pred <> '' GROUP BY uid")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _repetition(x: pd.Series) -> pd.Series:
     return x.map(lambda t: custom.repetition(t) if t else 0.0)
 

@@ -8,7 +8,7 @@ from millrace.catalog.advantages import BASE, TOK, base, tokens
 from millrace.catalog.base import Book, r9, read
 from millrace.operators import metrics as M
 
-book = Book()
+book = Book(globals(), r="r", v="v", m="m", L="length")
 add = book.add
 VOTES = "WITH b AS (SELECT DISTINCT rollout_id AS rid, uid, data_source, pred, score, step FROM rollouts WHERE uid IS NOT NULL AND pred IS NOT NULL AND score IS NOT NULL)"
 
@@ -42,8 +42,13 @@ add("metric_judged_best", lambda s, f: M.judged_best(judged(s, f), ["uid"], "sco
     f"""{VOTES}{J}, t AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY prob DESC, rid) AS k FROM j WHERE verdict = 'correct' AND prob IS NOT NULL),
     w AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY prob, rid) AS k FROM j WHERE verdict = 'wrong' AND prob IS NOT NULL), m AS (SELECT uid, avg(score) AS a FROM j GROUP BY uid)
     SELECT m.uid, {rnd('coalesce(t.score, w.score, a)', 'value')} FROM m LEFT JOIN t ON t.uid = m.uid AND t.k = 1 LEFT JOIN w ON w.uid = m.uid AND w.k = 1""")
-W = F.when(F.col("verdict") == "correct", F.col("prob")).otherwise(-F.col("prob"))
-add("metric_weighted_majority", lambda s, f: M.weighted_majority(judged(s, f).where("prob is not null"), ["uid"], "pred", "score", F.round(W * 100).cast("long"), "rid").select("uid", "pred", "w", r9(F.col("first_value")).alias("first_value")),
+
+
+def signed_prob():
+    return F.when(F.col("verdict") == "correct", F.col("prob")).otherwise(-F.col("prob"))
+
+
+add("metric_weighted_majority", lambda s, f: M.weighted_majority(judged(s, f).where("prob is not null"), ["uid"], "pred", "score", F.round(signed_prob() * 100).cast("long"), "rid").select("uid", "pred", "w", r9(F.col("first_value")).alias("first_value")),
     f"""{VOTES}{J}, v AS (SELECT uid, pred, CAST(sum(CAST(round(CASE WHEN verdict = 'correct' THEN prob ELSE -prob END * 100) AS BIGINT)) AS BIGINT) AS w, min(rid) AS p, arg_min(score, rid) AS first_value FROM j WHERE prob IS NOT NULL GROUP BY uid, pred),
     r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY w DESC, p) AS k FROM v) SELECT uid, pred, w, {rnd('first_value')} FROM r WHERE k = 1""")
 add("metric_validation_rollup", lambda s, f: M.validation_rollup(base(s, f).where("data_source is not null"), "data_source", "uid", "score").select("data_source", "metric", F.round("value", 7).alias("value")),
@@ -75,7 +80,6 @@ add("metric_slowest_call", lambda s, f: read(s, f, "tool_outputs").where("execut
 add("metric_explained_variance", lambda s, f: M.explained_variance(read(s, f, "lineitem").withColumn("v", F.col("l_quantity") * 1000), "v", "l_extendedprice").select(F.round("explained_variance", 7).alias("explained_variance")),
     "SELECT round(1 - var_samp(l_extendedprice - l_quantity * 1000) / (var_samp(l_extendedprice) + 1e-5), 7) AS explained_variance FROM lineitem")
 # ---- token statistics
-r, v, m = (F.col(c) for c in ("r", "v", "m"))
 MS = "list_sum(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN m[i] = 1 THEN r[i] ELSE 0.0 END))"
 MC = "list_sum(m)"
 add("token_masked_sum", lambda s, f: tokens(s, f).select("seq_id", F.round(M.masked_sum(r, m), 6).alias("value")), f"{TOK} SELECT seq_id, round({MS}, 6) AS value FROM s")
@@ -88,7 +92,6 @@ add("token_last_score", lambda s, f: tokens(s, f).select("seq_id", F.array_posit
 add("token_lengths", lambda s, f: tokens(s, f).agg(F.count("*").alias("n"), r9(F.avg(M.mask_count(m))).alias("mean"), F.max(M.mask_count(m)).alias("most"), F.min(M.mask_count(m)).alias("least"), r9(F.avg((M.mask_count(m) >= 1024).cast("double"))).alias("clip_ratio")),
     f"{TOK} SELECT count(*) AS n, {rnd('avg(' + MC + ')', 'mean')}, CAST(max({MC}) AS BIGINT) AS most, CAST(min({MC}) AS BIGINT) AS least, {rnd('avg(CAST(' + MC + ' >= 1024 AS DOUBLE))', 'clip_ratio')} FROM s")
 # ---- rewards
-L = F.col("length")
 add("reward_overlong", lambda s, f: base(s, f).select("rid", r9(M.overlong_penalty(L, 600, 100)).alias("value"), (M.overlong_penalty(L, 600, 100) < 0).alias("overlong")), f"{BASE} SELECT rid, {rnd('least(-(length - 500) / 100.0 * 1.0, 0.0)', 'value')}, least(-(length - 500) / 100.0, 0.0) < 0 AS overlong FROM b")
 TR = ", t AS (SELECT *, avg(CAST(n_actions > 0 AS DOUBLE)) OVER (PARTITION BY uid) AS rate FROM b)"
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from millrace.catalog.base import Book, r9, read
 from millrace.functions import answers as A
 
-book = Book()
-R, K, T = "rollouts", "rollout_id", F.col("responses")
+book = Book(globals(), T="responses")
+R, K = "rollouts", "rollout_id"
 
 
 def col(name: str, make, sql: str, table: str = R, key: str = K, where: str | None = None) -> None:

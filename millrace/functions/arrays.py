@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.least(F.greatest(x, low), high)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: inside a lambda it would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x.cast("array<double>"), F.lit(0.0), lambda a, b: a + b)
 
@@ -65,14 +71,12 @@ def cut_to(x: Column, n: Column, from_left: bool = True) -> Column:
 
 
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return let(F.array_max(logits), lambda top: top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
 
 
 def entropy(logits: Column) -> Column:
     """logsumexp - sum p x."""
-    z = log_sum_exp(logits)
-    return z - F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - z) * x)
+    return let(log_sum_exp(logits), lambda z: z - F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - z) * x))
 
 
 def log_prob(logits: Column, label: Column) -> Column:

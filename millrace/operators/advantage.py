@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let
+
 EPS = 1e-6
 WHITEN_EPS = 1e-8
 
@@ -156,8 +158,8 @@ def whiten(df: DataFrame, value: str, mask: str | None = None, shift_mean: bool
 def _backward(arrays: list[Column], start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column], Column]) -> Column:
     """Folds zipped arrays from their last element; returns the array of out(state) in token order."""
     zipped = F.reverse(F.arrays_zip(*[a.alias(f"c{i}") for i, a in enumerate(arrays)]))
-    acc = F.aggregate(zipped, F.struct(start.alias("s"), F.array().cast("array<double>").alias("out")), lambda s, x: _push(step(s["s"], x), s["out"], out))
-    return F.reverse(acc["out"])
+    acc = F.aggregate(zipped, F.struct(start.alias("s"), F.array().cast("array<double>").alias("out")), lambda s, x: _push(step(s["s"], x), s["out"], out), lambda s: F.reverse(s["out"]))
+    return acc
 
 
 def _push(state: Column, done: Column, out: Callable[[Column], Column]) -> Column:
@@ -231,8 +233,8 @@ def remax(rewards: Column, baseline: Column, mask: Column) -> Column:
 
 def remax_scalar(rewards: Column, baseline: Column, mask: Column) -> Column:
     """(sum of rewards - baseline) at every masked-in token."""
-    total = F.aggregate(rewards, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(mask.cast("array<double>"), lambda m: (total - baseline) * m)
+    total = F.aggregate(rewards, F.lit(0.0), lambda a, x: a + x) - baseline
+    return let(total, lambda t: F.transform(mask.cast("array<double>"), lambda m: t * m))
 
 
 # ---- masks --------------------------------------------------------------------------------------------------------
@@ -240,8 +242,8 @@ def remax_scalar(rewards: Column, baseline: Column, mask: Column) -> Column:
 
 def running(values: Column, keep: Callable[[Column, Column], Column], start: Column) -> Column:
     """Array of running states of a fold from the left."""
-    acc = F.aggregate(values, F.struct(start.alias("s"), F.array().cast("array<long>").alias("out")), lambda s, x: F.struct(keep(s["s"], x).alias("s"), F.concat(s["out"], F.array(keep(s["s"], x))).alias("out")))
-    return acc["out"]
+    first = F.struct(start.alias("s"), F.array().cast("array<long>").alias("out"))
+    return F.aggregate(values, first, lambda s, x: F.struct(keep(s["s"], x).alias("s"), F.array_append(s["out"], keep(s["s"], x)).alias("out")), lambda s: s["out"])
 
 
 def running_sum(values: Column) -> Column:
@@ -280,7 +282,8 @@ def run_discount(mask: Column, reward: Column, factor: float) -> Column:
     """reward * factor ** (runs of ones that follow) at the ones, 0 elsewhere."""
     prev = F.concat(F.array(F.lit(0)), F.slice(mask, 1, F.greatest(F.size(mask) - 1, F.lit(0))))
     run = running_sum(F.zip_with(mask, prev, lambda m, p: ((m == 1) & (p == 0)).cast("long")))
-    return F.zip_with(mask, run, lambda m, r: F.when(m == 1, reward * F.pow(F.lit(factor), (n_actions(mask) - r).cast("double"))).otherwise(0.0))
+    after = lambda n: F.zip_with(mask, run, lambda m, r: F.when(m == 1, reward * F.pow(F.lit(factor), (n - r).cast("double"))).otherwise(0.0))
+    return let(n_actions(mask), after)
 
 
 def run_ends(mask: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let
+
 
 def ratio(top: Column, bottom: Column, empty: float = 0.0) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(empty))
@@ -72,7 +74,7 @@ def validation_rollup(df: DataFrame, source: str, prompt: str, value: str) -> Da
     powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.pow(F.lit(2.0), i).cast("int")), lambda k: k < n)
     ns = F.when(n > 1, F.concat(powers, F.array(n))).otherwise(F.array().cast("array<int>"))
     mean = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / n
-    sq = F.aggregate("x", F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean))
+    sq = let(mean, lambda mu: F.aggregate(F.col("x"), F.lit(0.0), lambda a, b: a + (b - mu) * (b - mu)))
     entry = lambda name, v: F.struct(F.concat(F.lit(name), F.lit("@"), n).alias("metric"), v.alias("v"))
     many = F.flatten(F.transform(ns, lambda k: F.array(
         F.struct(F.concat(F.lit("best@"), k).alias("metric"), best_of(F.col("x"), k).alias("v")),
@@ -126,8 +128,7 @@ def masked_mean(values: Column, mask: Column) -> Column:
 def masked_var(values: Column, mask: Column) -> Column:
     """Masked variance with Bessel's correction; null for fewer than two values."""
     n = mask_count(mask)
-    mean = masked_mean(values, mask)
-    sq = masked_mean(F.transform(values, lambda v: (v - mean) * (v - mean)), mask)
+    sq = let(masked_mean(values, mask), lambda mean: masked_mean(F.transform(values, lambda v: (v - mean) * (v - mean)), mask))
     return F.when(n > 1, sq * n / (n - 1))
 
 
@@ -178,8 +179,7 @@ def redundancy(calls: Column, weight: float = 0.05) -> Column:
 
 def at_last_token(score: Column, mask: Column) -> Column:
     """Array of the mask's length with the score at the last masked-in token."""
-    n = mask_count(mask)
-    return F.transform(mask, lambda m, i: F.when(i + 1 == n, score).otherwise(0.0))
+    return let(mask_count(mask), lambda n: F.transform(mask, lambda m, i: F.when(i + 1 == n, score).otherwise(0.0)))
 
 
 def curriculum_score(share: Column, penalty: Column, tool: Column, parsed: Column) -> Column:
