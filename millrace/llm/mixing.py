@@ -80,9 +80,9 @@ def _targets(targets: DataFrame) -> DataFrame:
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per (mix, source): need, available tokens, whole passes, the rest for the threshold, and reachability."""
     by_source = sizes.groupBy("source").agg(F.sum("tokens").alias("available"))
-    total = by_source.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("all_tokens"))  # one row
-    t = _targets(targets).join(by_source, "source", "left").join(F.broadcast(total), how="cross")
-    need = F.col("target_share") * F.col("budget_ratio") * F.col("all_tokens")
+    total = by_source.agg(F.sum("available")).first()[0] or 0  # one number
+    t = _targets(targets).join(by_source, "source", "left")
+    need = F.col("target_share") * F.col("budget_ratio") * F.lit(total)
     t = t.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("need", need)
     passes = F.when(F.col("available") > 0, F.least(F.floor(F.col("need") / F.col("available")), F.col("max_repeats").cast("long"))).otherwise(0)
     t = t.withColumn("passes", passes.cast("int"))
