@@ -434,8 +434,9 @@ def _block_links(members: DataFrame, sets: DataFrame, t: float, region: int) ->
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, least: int = LEAST_WORDS, region: int = REGION) -> DataFrame:
     """(doc_id, class_id, class_size): the classes of two or more documents connected through links."""
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    # one range is joined in one task: their number follows the input, whatever the session's setting is
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * base.rdd.getNumPartitions())
     first = written(_first_pass(base, ranges, least), "first")
     nodes = first.where("kind = 'd'").groupBy(F.col("x").alias("doc_id")).agg(F.min("y").alias("node"))
     nodes = written(nodes, "nodes")
