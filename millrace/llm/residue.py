@@ -13,7 +13,12 @@ may well be the filled one.
 
 Fingerprints of 64 bits are cut into BLOCKS blocks; each table keys a document
 by all but DISTANCE of them, so two fingerprints that differ in at most DISTANCE
-bits share a key (pigeonhole) and no near-duplicate is missed.  Documents with
+bits share a key (pigeonhole).  Texts of similarity SIMILARITY differ in some ten
+bits, so the tables hold only the closest of them; a prefix join finds the rest.
+Two sets whose similarity reaches SIMILARITY share one of the first
+n - SIMILARITY * n + 1 runs of either, in any order of runs common to all: no
+near-duplicate of a labelled text is missed.  Runs that a sample shows often come
+last in that order, which keeps the buckets small.  Documents with
 equal texts collapse to one node first.  Labels spread from labelled to
 unlabelled nodes only, hop by hop, until nothing changes: no bucket is expanded
 into all its pairs, and what is moved is bounded by the labelled nodes' buckets.
@@ -41,6 +46,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 DISTANCE = 3
 BLOCKS = 6
+#: A text of fewer words is compared by words; only texts of so few distinct words can be similar to one.
+SHORT_WORDS = int((2 * SHINGLE - 1) / SIMILARITY)
+#: Texts from which the order of runs is taken, and how many of them make a run a frequent one.
+SAMPLE, FREQUENT = 10_000, 5
 HOPS = 8
 
 # ---- slots --------------------------------------------------------------------------------------------------------
@@ -208,7 +217,12 @@ def label_of(text: str | None) -> str | None:
 # ---- fingerprints -------------------------------------------------------------------------------------------------
 
 
-_MASK = str.maketrans("123456789", "000000000")
+_NUMBER = re.compile(r"\d+")
+
+
+def masked(text: str) -> str:
+    """The text with every number as 9."""
+    return _NUMBER.sub("9", text)
 
 
 def simhash(h: np.ndarray, o: np.ndarray) -> np.ndarray:
@@ -242,22 +256,60 @@ def tables_of(fp: Column, blocks: int = BLOCKS, distance: int = DISTANCE) -> Col
     return F.array(*keys)
 
 
-_MARKED = "doc_id long, label string, fp long, node long, part boolean"
+def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Hashes in the order of the prefix join: the frequent ones (sorted) come last."""
+    at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
+    often = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
+    return (s >> np.uint64(1)) | (often.astype(np.uint64) << np.uint64(63))
+
+
+def prefixes(s: np.ndarray, o: np.ndarray, takes_part: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """(size of each text's set of hashes, its prefix: of two sets with similarity SIMILARITY the prefixes meet)."""
+    d, do = T.distinct_by_text(s, o)
+    n = np.diff(do)
+    take = np.where(takes_part & (n > 0), n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1, 0)
+    keep = np.arange(len(d)) - np.repeat(do[:-1], n) < np.repeat(take, n)
+    return n, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(T.signed(d[keep])))
+
+
+def frequent_runs(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray:
+    """The runs that several texts of a sample hold, sorted.  They decide about order alone, so any sample gives the same pairs."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, o = T.word_hashes([masked(t) for t in b.column(0).to_pylist()])
+            s, _ = T.distinct_by_text(*T.shingle_hashes(h, o, SHINGLE))
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(s))], names=["s"])
+
+    some = docs.select(F.col(text).cast("string").alias("text")).where("text is not null").sample(0.05, 7).limit(sample)
+    rows = some.mapInArrow(look, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT).select("s").collect()
+    return np.sort(np.array([r.s for r in rows], np.int64).view(np.uint64))
+
+
+_MARKED = "doc_id long, label string, fp long, node long, part boolean, n_runs int, runs array<long>, n_words int, few array<long>"
 
 
 def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, trusted label, fingerprint, node = hash of the words, digits masked, part: short enough to be a residue body)."""
+    """(doc_id, trusted label, fingerprint, node = hash of the words, digits masked, part: has words, sizes and prefixes of its runs and, if few, words)."""
+    frequent = frequent_runs(docs, text)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             labels = [label_of(t) for t in texts]
-            h, o = T.word_hashes([t.translate(_MASK) for t in texts])
+            h, o = T.word_hashes([masked(t) for t in texts])
+            s, so = T.shingle_hashes(h, o, SHINGLE)
+            n_runs, runs = prefixes(ordered(s, frequent), so, np.diff(o) >= 2 * SHINGLE)
+            w, wo = T.distinct_by_text(h, o)
+            n_words, few = prefixes(w, wo, np.diff(wo) <= SHORT_WORDS)
             node = T.set_hashes(*T.distinct_by_text(h * np.uint64(3) + np.repeat(np.diff(o), np.diff(o)).astype(np.uint64), o))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(labels, pa.string()), pa.array(T.signed(simhash(h, o))), pa.array(T.signed(node)), pa.array(np.diff(o) > 0)],
-                names=["doc_id", "label", "fp", "node", "part"],
-            )
+                [
+                    b.column(0), pa.array(labels, pa.string()), pa.array(T.signed(simhash(h, o))), pa.array(T.signed(node)), pa.array(np.diff(o) > 0),
+                    pa.array(n_runs.astype(np.int32)), runs, pa.array(n_words.astype(np.int32)), few,
+                ],
+                names=[c.split()[0] for c in _MARKED.split(", ")],
+            )
 
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return base.where("text is not null").mapInArrow(look, _MARKED)
@@ -265,7 +317,7 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def similar(a: str, b: str) -> bool:
     """Jaccard similarity of the runs of five words (words in short texts), digits masked."""
-    x, y = (T.words(re.sub(r"\d+", "9", t)) for t in (a, b))
+    x, y = (T.words(masked(t)) for t in (a, b))
     k = SHINGLE if min(len(x), len(y)) >= 2 * SHINGLE else 1
     p, q = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (x, y))
     return bool(p or q) and len(p & q) >= SIMILARITY * len(p | q)
@@ -276,20 +328,19 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: i
     m = written(marked(docs, doc_id, text), "marked")
     sure = m.where("label is not null").select("doc_id", "label", F.lit(0).alias("hop"))
     nodes = written(
-        m.where("part").groupBy("node").agg(F.min("fp").alias("fp"), F.max(F.when(F.col("label") != "slot", F.col("label"))).alias("label"), F.max(F.expr("label = 'slot'")).alias("slot"), F.min("doc_id").alias("doc_id")),
+        m.where("part").groupBy("node").agg(F.max(F.when(F.col("label") != "slot", F.col("label"))).alias("label"), F.max(F.expr("label = 'slot'")).alias("slot"), F.min_by(F.struct("doc_id", "fp", "n_runs", "runs", "n_words", "few"), "doc_id").alias("x"))
+        .select("node", "label", "slot", "x.*"),
         "nodes",
-    )
+    )
     open_nodes = nodes.where("label is null and slot is null")
     keyed = written(open_nodes.select("node", "doc_id", "fp", F.explode(tables_of(F.col("fp"))).alias("key")), "tables")
-    front = nodes.where("label is not null").select("node", "doc_id", "fp", "label")
+    front = nodes.where("label is not null")
     found: list[DataFrame] = []
     for hop in range(1, hops + 1):
         seeds = front.groupBy("fp").agg(F.min_by(F.struct("doc_id", "label"), "doc_id").alias("s")).select("fp", "s.*")
         seeds = seeds.select(F.col("fp").alias("fp_s"), F.col("doc_id").alias("doc_s"), "label", F.explode(tables_of(F.col("fp"))).alias("key"))
-        near = (
-            keyed.join(seeds, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_s"))) <= DISTANCE)
-            .groupBy("node", "doc_id", "fp", "doc_s").agg(F.min("label").alias("label"))
-        )
+        close = keyed.join(seeds, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_s"))) <= DISTANCE).select("node", "doc_id", "fp", "doc_s", "label")
+        near = close.unionByName(_meeting(open_nodes, front)).groupBy("node", "doc_id", "fp", "doc_s").agg(F.min("label").alias("label"))
         near = written(near, f"near{hop}")
         if near.isEmpty():
             break
@@ -300,13 +351,26 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: i
         if good.isEmpty():
             break
         found.append(good.withColumn("hop", F.lit(hop)))
-        front = good
+        front = nodes.drop("label").join(small_side(good.select("node", "label")), "node")
     for g in found:
         members = m.join(small_side(written(g.select("node", F.col("label").alias("l"), "hop"), "labels")), "node")
         sure = sure.unionByName(members.where("label is null").select("doc_id", F.col("l").alias("label"), "hop"))
     return sure.groupBy("doc_id").agg(F.min_by("label", F.struct("hop", "label")).alias("label"), F.min("hop").alias("hop"))
 
 
+def _meeting(nodes: DataFrame, front: DataFrame) -> DataFrame:
+    """(node, doc_id, fp, doc_s, label): every node and labelled node whose prefixes meet and whose sizes allow for similarity SIMILARITY."""
+
+    def keys(df: DataFrame, *cols: Column) -> DataFrame:
+        runs = df.select(*cols, F.lit(True).alias("run"), F.col("n_runs").alias("n"), F.explode("runs").alias("key"))
+        return runs.unionByName(df.select(*cols, F.lit(False).alias("run"), F.col("n_words").alias("n"), F.explode("few").alias("key")))
+
+    seeds = written(keys(front, F.col("doc_id").alias("doc_s"), F.col("label")).withColumnRenamed("n", "n_s"), "prefixes")
+    met = keys(nodes, F.col("node"), F.col("doc_id"), F.col("fp")).join(small_side(seeds), ["run", "key"])
+    least = SIMILARITY - 1e-9
+    return met.where((F.col("n") >= least * F.col("n_s")) & (F.col("n_s") >= least * F.col("n"))).select("node", "doc_id", "fp", "doc_s", "label")
+
+
 def _verified(near: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The candidates whose text is similar to that of a labelled document."""
     wanted = written(near.select(F.explode(F.array("doc_id", "doc_s")).alias("id")).distinct(), "wanted")

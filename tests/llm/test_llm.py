@@ -276,3 +276,32 @@ def test_residue_hops(spark):
     df = spark.createDataFrame([*enumerate(texts), *real], "doc_id long, text string")
     got = {r.doc_id: (r.label, r.hop) for r in residue.residue(df).collect()}
     assert set(got) == {0, 1, 2} and got[0] == ("dummy", 0) and got[1] == ("dummy", 1) and got[2][1] in (1, 2)
+
+
+def test_residue_reaches_every_near_copy(spark):
+    """Copies of filler at similarity 0.8 to 0.95, long and short, against brute force."""
+    rnd = random.Random(13)
+    latin, other = sorted(residue.LATIN), ["".join(rnd.choice("bcdfghjk") + rnd.choice("aeiou") for _ in range(4)) for _ in range(3_000)]
+    rows, seeds, copies = [], [], []
+    for n in (9, 11, 30, 60, 150, 400):
+        for _ in range(6):
+            own = rnd.sample(other, max(1, n * 28 // 100))  # just within the filler rule, so a copy with a little less filler is out of it
+            w = own + [rnd.choice(latin) for _ in range(n - len(own))]
+            rnd.shuffle(w)
+            seeds.append((len(rows), " ".join(w)))
+            rows.append(seeds[-1])
+            for edits in range(1, 2 + n // 50):
+                c = list(w)
+                for i in rnd.sample([i for i in range(n) if c[i] in residue.LATIN], edits):
+                    c[i] = rnd.choice(other)
+                copies.append((len(rows), " ".join(c)))
+                rows.append(copies[-1])
+    labels = {i: residue.label_of(x) for i, x in rows}
+    trusted = [(i, x) for i, x in rows if labels[i] == "dummy"]
+    want = {i for i, x in rows if labels[i] or any(residue.similar(x, y) for _, y in trusted)}
+    by_rule = {i for i in labels if labels[i]}
+    h, o = T.word_hashes([x for _, x in rows])
+    fp = [int(x) for x in residue.simhash(h, o)]
+    assert any(min((fp[i] ^ fp[j]).bit_count() for j, _ in trusted) > residue.DISTANCE for i in want - by_rule)
+    df = spark.createDataFrame(rows + [(1_000 + i, text_of(rnd, 50)) for i in range(20)], "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue(df, hops=1).collect()} == want
