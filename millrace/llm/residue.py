@@ -19,7 +19,9 @@ Two sets whose similarity reaches SIMILARITY share one of the first
 n - SIMILARITY * n + 1 runs of either, in any order of runs common to all: no
 near-duplicate of a labelled text is missed.  Runs that a sample shows often come
 last in that order, which keeps the buckets small.  Documents with
-equal texts collapse to one node first.  Labels spread from labelled to
+the same words in the same order, numbers masked, collapse to one node first:
+their similarity is 1, so what holds for one of them holds for all.  A node's
+label goes to its members without one as hop 1.  Labels spread from labelled to
 unlabelled nodes only, hop by hop, until nothing changes: no bucket is expanded
 into all its pairs, and what is moved is bounded by the labelled nodes' buckets.
 
@@ -290,7 +292,7 @@ _MARKED = "doc_id long, label string, fp long, node long, part boolean, n_runs i
 
 
 def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, trusted label, fingerprint, node = hash of the words, digits masked, part: has words, sizes and prefixes of its runs and, if few, words)."""
+    """(doc_id, trusted label, fingerprint, node = hash of the words in their order, numbers masked, part: has words, sizes and prefixes of its runs and, if few, words)."""
     frequent = frequent_runs(docs, text)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +304,8 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             n_runs, runs = prefixes(ordered(s, frequent), so, np.diff(o) >= 2 * SHINGLE)
             w, wo = T.distinct_by_text(h, o)
             n_words, few = prefixes(w, wo, np.diff(wo) <= SHORT_WORDS)
-            node = T.set_hashes(*T.distinct_by_text(h * np.uint64(3) + np.repeat(np.diff(o), np.diff(o)).astype(np.uint64), o))
+            place = (np.arange(len(h)) - np.repeat(o[:-1], np.diff(o))).astype(np.uint64)
+            node = T.set_hashes(T.mix64(h + T.mix64(place)), o)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(labels, pa.string()), pa.array(T.signed(simhash(h, o))), pa.array(T.signed(node)), pa.array(np.diff(o) > 0),
@@ -328,17 +331,16 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: i
     m = written(marked(docs, doc_id, text), "marked")
     sure = m.where("label is not null").select("doc_id", "label", F.lit(0).alias("hop"))
     nodes = written(
-        m.where("part").groupBy("node").agg(F.max(F.when(F.col("label") != "slot", F.col("label"))).alias("label"), F.max(F.expr("label = 'slot'")).alias("slot"), F.min_by(F.struct("doc_id", "fp", "n_runs", "runs", "n_words", "few"), "doc_id").alias("x"))
-        .select("node", "label", "slot", "x.*"),
+        m.where("part").groupBy("node").agg(F.max(F.when(F.col("label") != "slot", F.col("label"))).alias("label"), F.min_by(F.struct("doc_id", "fp", "n_runs", "runs", "n_words", "few"), "doc_id").alias("x"))
+        .select("node", "label", "x.*"),
         "nodes",
     )
-    open_nodes = nodes.where("label is null and slot is null")
+    open_nodes = nodes.where("label is null")
     keyed = written(open_nodes.select("node", "doc_id", "fp", F.explode(tables_of(F.col("fp"))).alias("key")), "tables")
     front = nodes.where("label is not null")
-    found: list[DataFrame] = []
+    found = [front.select("node", "doc_id", "fp", "label", F.lit(1).alias("hop"))]
     for hop in range(1, hops + 1):
-        seeds = front.groupBy("fp").agg(F.min_by(F.struct("doc_id", "label"), "doc_id").alias("s")).select("fp", "s.*")
-        seeds = seeds.select(F.col("fp").alias("fp_s"), F.col("doc_id").alias("doc_s"), "label", F.explode(tables_of(F.col("fp"))).alias("key"))
+        seeds = front.select(F.col("fp").alias("fp_s"), F.col("doc_id").alias("doc_s"), "label", F.explode(tables_of(F.col("fp"))).alias("key"))
         close = keyed.join(seeds, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_s"))) <= DISTANCE).select("node", "doc_id", "fp", "doc_s", "label")
         near = close.unionByName(_meeting(open_nodes, front)).groupBy("node", "doc_id", "fp", "doc_s").agg(F.min("label").alias("label"))
         near = written(near, f"near{hop}")

@@ -305,3 +305,15 @@ def test_residue_reaches_every_near_copy(spark):
     assert any(min((fp[i] ^ fp[j]).bit_count() for j, _ in trusted) > residue.DISTANCE for i in want - by_rule)
     df = spark.createDataFrame(rows + [(1_000 + i, text_of(rnd, 50)) for i in range(20)], "doc_id long, text string")
     assert {r.doc_id for r in residue.residue(df, hops=1).collect()} == want
+
+
+def test_residue_label_reaches_members_of_its_node(spark):
+    """Texts with the words of a labelled one, for which the rule does not fire, and near-copies of one of two close seeds."""
+    notice = "The page could not be found on this server"
+    other = "The\npage\ncould\nnot\nbe\nfound\non\nthis\nserver"
+    assert residue.label_of(notice) == "notice" and residue.label_of(other) is None and residue.similar(notice, other)
+    slot = "{name} " + " ".join(f"{a}{b}" for a in "abcdef" for b in "klmnop")
+    filled = slot.replace("{name}", "name")
+    assert residue.label_of(slot) == "slot" and residue.label_of(filled) is None
+    df = spark.createDataFrame([(1, notice), (2, other), (3, slot), (4, filled)], "doc_id long, text string")
+    assert {r.doc_id: (r.label, r.hop) for r in residue.residue(df).collect()} == {1: ("notice", 0), 2: ("notice", 1), 3: ("slot", 0)}
