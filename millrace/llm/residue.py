@@ -22,7 +22,7 @@ last in that order, which keeps the buckets small.  Documents with
 the same words in the same order, numbers masked, collapse to one node first:
 their similarity is 1, so what holds for one of them holds for all.  A node's
 label goes to its members without one as hop 1.  Labels spread from labelled to
-unlabelled nodes only, hop by hop, until nothing changes: no bucket is expanded
+unlabelled nodes only, hop by hop, until a hop finds nothing new: no bucket is expanded
 into all its pairs, and what is moved is bounded by the labelled nodes' buckets.
 
 Nulls: null and blank texts are no cases; rows with a null id give no row.
@@ -52,7 +52,8 @@ BLOCKS = 6
 SHORT_WORDS = int((2 * SHINGLE - 1) / SIMILARITY)
 #: Texts from which the order of runs is taken, and how many of them make a run a frequent one.
 SAMPLE, FREQUENT = 10_000, 5
-HOPS = 8
+#: A spread over more links than this is taken for a fault and stops with an error.
+MOST_HOPS = 1_000
 
 # ---- slots --------------------------------------------------------------------------------------------------------
 
@@ -326,8 +327,8 @@ def similar(a: str, b: str) -> bool:
     return bool(p or q) and len(p & q) >= SIMILARITY * len(p | q)
 
 
-def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: int = HOPS) -> DataFrame:
-    """(doc_id, label, hop): the documents that are residue; hop 0 is a trusted label, n a label that came over n links."""
+def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: int | None = None) -> DataFrame:
+    """(doc_id, label, hop): the documents that are residue; hop 0 is a trusted label, n a label that came over n links.  With hops, links beyond so many are not followed."""
     m = written(marked(docs, doc_id, text), "marked")
     sure = m.where("label is not null").select("doc_id", "label", F.lit(0).alias("hop"))
     nodes = written(
@@ -338,25 +339,25 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: i
     open_nodes = nodes.where("label is null")
     keyed = written(open_nodes.select("node", "doc_id", "fp", F.explode(tables_of(F.col("fp"))).alias("key")), "tables")
     front = nodes.where("label is not null")
-    found = [front.select("node", "doc_id", "fp", "label", F.lit(1).alias("hop"))]
-    for hop in range(1, hops + 1):
+    found = written(front.select("node", "label", F.lit(1).alias("hop")), "found")
+    hop = 0
+    while hops is None or hop < hops:
+        hop += 1
+        if hop > MOST_HOPS:
+            raise RuntimeError(f"labels still spread after {MOST_HOPS} hops")
         seeds = front.select(F.col("fp").alias("fp_s"), F.col("doc_id").alias("doc_s"), "label", F.explode(tables_of(F.col("fp"))).alias("key"))
         close = keyed.join(seeds, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_s"))) <= DISTANCE).select("node", "doc_id", "fp", "doc_s", "label")
         near = close.unionByName(_meeting(open_nodes, front)).groupBy("node", "doc_id", "fp", "doc_s").agg(F.min("label").alias("label"))
-        near = written(near, f"near{hop}")
+        near = written(near.join(small_side(found.select("node")), "node", "left_anti"), f"near{hop}")
         if near.isEmpty():
             break
         good = written(_verified(near, docs, doc_id, text), f"hop{hop}")
-        for g in found:
-            good = good.join(small_side(g.select("node")), "node", "left_anti")
-        good = written(good, f"new{hop}")
         if good.isEmpty():
             break
-        found.append(good.withColumn("hop", F.lit(hop)))
+        found = written(found.unionByName(good.select("node", "label", F.lit(hop).alias("hop"))), f"found{hop}")
         front = nodes.drop("label").join(small_side(good.select("node", "label")), "node")
-    for g in found:
-        members = m.join(small_side(written(g.select("node", F.col("label").alias("l"), "hop"), "labels")), "node")
-        sure = sure.unionByName(members.where("label is null").select("doc_id", F.col("l").alias("label"), "hop"))
+    members = m.where("label is null").join(small_side(found).withColumnRenamed("label", "l"), "node")
+    sure = sure.unionByName(members.select("doc_id", F.col("l").alias("label"), "hop"))
     return sure.groupBy("doc_id").agg(F.min_by("label", F.struct("hop", "label")).alias("label"), F.min("hop").alias("hop"))
 
 

@@ -317,3 +317,20 @@ def test_residue_label_reaches_members_of_its_node(spark):
     assert residue.label_of(slot) == "slot" and residue.label_of(filled) is None
     df = spark.createDataFrame([(1, notice), (2, other), (3, slot), (4, filled)], "doc_id long, text string")
     assert {r.doc_id: (r.label, r.hop) for r in residue.residue(df).collect()} == {1: ("notice", 0), 2: ("notice", 1), 3: ("slot", 0)}
+
+
+def test_residue_follows_long_chains(spark):
+    """A chain of small edits, each text similar to the one before it only, is labelled to its end."""
+    rnd = random.Random(14)
+    other = ["".join(rnd.choice("bcdfghjk") + rnd.choice("aeiou") for _ in range(4)) for _ in range(3_000)]
+    w = [rnd.choice(sorted(residue.LATIN)) for _ in range(70)] + rnd.sample(other, 30)
+    rnd.shuffle(w)
+    texts = [" ".join(w)]
+    for i in range(10):
+        w[6 * i : 6 * i + 6] = rnd.sample(other, 6)
+        texts.append(" ".join(w))
+    assert [residue.label_of(x) for x in texts] == ["dummy"] + [None] * 10
+    assert all(residue.similar(texts[i], texts[j]) == (abs(i - j) < 2) for i in range(11) for j in range(11))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.hop for r in residue.residue(df).collect()} == {i: i for i in range(11)}
+    assert {r.doc_id for r in residue.residue(df, hops=2).collect()} == {0, 1, 2}
