@@ -149,6 +149,22 @@ NOTICE = re.compile(
     """,
     re.X | re.I | re.M,
 )
+#: In lower case, a part of every text that NOTICE matches: a quick way to tell that it does not.
+_NOTICE_SIGNS = (
+    "js", "script", "cookie", "not found", "gateway", "unavailable", "forbidden", "internal", "upstream", "unauthori", "too many", "moved", "gone", "error", "http", "code", "status", "failure", "access", "maintenance", "did not ",
+    "leads nowhere", "taken down", "blocked in", "members only", "valid login", "daily quota", "no longer ", "not be ", "missing", "deleted", "expired", "does not exist", "unreachable", "restricted", "offline", "suspended", "disabled",
+    "private", "couldn", "went wrong", "timed out", "time out", "connection", "dns lookup", "returned nothing", "if nothing happens", "your browser", "verify ", "captcha", "human", "robot", "ticking the box", "backend", "fatal:", "exhausted",
+    "see log", "switch it on", "reload", "refresh", "traceback", "exception", 'file "', "reason=", "in to ", "rate limit", "nicht ", "existiert", "gesperrt", "fehler", "verweigert", "bitte ", "introuvable", "non trouvée", "erreur", "veuillez",
+    "accès", "indisponible", "página no", "acceso", "servicio no", "inténtelo", "服务器", "页面", "请", "访问", "无法", "不能", "找不到", "网络", "浏览器", "验证码", "加载失败",
+)
+_ADDITION_SIGNS = ("retry after", "try again", "reference", "nginx", "apache", "openresty", "cloudflare", "varnish", "the address", "ray ", "if this persists", "return to the", "go back", "request id", "please wait")
+#: Words that may be the topic of a text; in a long body such a sentence is a notice only if it also asks or tells for something.
+_TOPIC = re.compile(r"java\s?script|js|scripts?|scripting|cookies?", re.I)
+_ASKS = re.compile(r"\b(?:please|enable[sd]?|allow(?:ed)?|accept(?:ed)?|turn(?:ed)?\ on|switch(?:ed)?\ on|activated?|disabled|blocked|requires?|required|needed|must|your|we\ (?:use|set|store)|this\ (?:site|page|website|form)|browser)\b", re.I | re.X)
+#: Printed stacks: from the head line over the indented lines to the line of the error.
+_STACK = re.compile(r"^[ \t]*Traceback \(most recent call last\):[^\n]*(?:\n[ \t]+\S[^\n]*|\n[ \t]*(?=\n))*(?:\n[\w.]*(?:Error|Exception|Interrupt|Exit)\b[^\n]*)?|(?:^[ \t]+at [\w.$<>/]+\([^()\n]*\)[ \t]*(?:\n|\Z))+", re.M)
+#: Least share of a body's characters that are sentences of a notice.
+NOTICE_SHARE = 0.6
 #: Standing additions of error pages, set aside before the body is judged.
 ADDITION = re.compile(
     r"retry after \d+ s\.?|(?:please )?try again(?: later)?\.?|reference:? (?:id:? )?[0-9a-f]{4,}\.?|nginx(?:-like)? ?[\d.]*|(?:apache|openresty|cloudflare|varnish)\S* ?[\d.]*|the address \S+ has no entry\.?|"
@@ -158,9 +174,8 @@ ADDITION = re.compile(
 _NAV_LINE = re.compile(r"^\s*(?:[^\W\d_][\w-]*(?: [\w-]+)?\s*[|/·•›>]\s*)+[^\W\d_][\w-]*(?: [\w-]+)?\s*$|^\s*[#*\-•]*\s*[^\W\d_][\w-]*(?: [\w-]+){0,2}\s*$", re.M)
 _ANY_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
+#: In a body of more words than this, what only names a topic or reports of a message does not count as a notice.
 BODY_WORDS = 60
-#: A text longer than this may be filler, but is no notice.
-BODY_CHARS = 900
 _FILLER_SIGNS = (" dolor", " magna", " luna", " tempus", " elit", "orem", " saepe", " porta", "asdf", "qwer", "zxcv", "hjkl", "dummy", "nothing", "goes here", "holder", "filler", "provisoire", "relleno", "steht", "supplied", "reserved", "填写", "占位", "示例")
 _WORD_RUN = re.compile(r"[^\W\d_]+")
 
@@ -174,10 +189,6 @@ def has_residue_body(text: str) -> str | None:
     """`dummy` or `notice` if that is what the body consists of."""
     low = text.lower()
     filler = sum(s in low for s in _FILLER_SIGNS)
-    if len(text) > BODY_CHARS and not filler:
-        return None
-    if not filler and low.count(" ") > BODY_WORDS + 40:
-        return None
     flat = _ANY_TAG.sub("\n", text) if "<" in text else text
     body = _without_links(flat).strip()
     words = _WORD_RUN.findall(body.lower())
@@ -186,25 +197,56 @@ def has_residue_body(text: str) -> str | None:
         mash = sum(w in MASH for w in words) / len(words)
         if latin >= 0.7 or mash >= 0.7:
             return "dummy"
-    if len(words) > 2 * BODY_WORDS and not filler:
-        return None
     if filler and _DUMMY_SENTENCE.search(body):
         sentences = [s for s in _SENTENCE.split(body) if re.search(r"\w", s)]
         if sum(len(s) for s in sentences if _DUMMY_SENTENCE.search(s)) >= 0.8 * sum(map(len, sentences)):
             return "dummy"
-    if len(words) > 2 * BODY_WORDS:
+    if _is_no_notice(body, low):
         return None
+    flat_body = body
+    stacks = sum(len(m.group()) for m in _STACK.finditer(body))
+    if stacks:
+        body = _STACK.sub("\n", body)
     body = ADDITION.sub(" ", body).strip()
     if not re.search(r"\w", body):
-        # nothing but links, titles and additions: a notice only if there is an addition
-        return "notice" if ADDITION.search(flat) else None
-    words = _WORD_RUN.findall(body)
-    if len(words) > BODY_WORDS or _REPORTS.search(body):
+        # nothing but stacks, links, titles and additions: a notice only if there is a stack or an addition
+        return "notice" if stacks or ADDITION.search(flat) else None
+    long = len(_WORD_RUN.findall(flat_body)) > BODY_WORDS
+    if not long and _REPORTS.search(body):
         return None
     sentences = [s for s in _SENTENCE.split(body) if re.search(r"\w", s)]
-    n = sum(map(len, sentences))
-    hit = sum(len(s) for s in sentences if NOTICE.search(s))
-    return "notice" if n and hit >= 0.6 * n else None
+    n = stacks + sum(map(len, sentences))
+    spare = n - NOTICE_SHARE * n
+    for s in sentences:
+        if not _is_notice_sentence(s, long):
+            spare -= len(s)
+            if spare < -1e-9:
+                return None
+    return "notice" if n else None
+
+
+def _is_no_notice(body: str, low: str) -> bool:
+    """Whether the sentences without any sign of a notice already make up too much of the body; an addition may join sentences, so with one the body is read."""
+    if any(x in low for x in _ADDITION_SIGNS) and ADDITION.search(body):
+        return False
+    signs = [x for x in _NOTICE_SIGNS if x in low]
+    n = hit = 0
+    stack = "traceback" in signs or " at " in low and "(" in low and _STACK.search(body) is not None
+    for s in _SENTENCE.split(body.lower()):
+        if any(x in s for x in signs):
+            hit += len(s)
+            n += len(s)
+        elif re.search(r"\w", s):
+            n += len(s)
+    return not stack and hit < (NOTICE_SHARE - 0.01) * n
+
+
+def _is_notice_sentence(s: str, long: bool) -> bool:
+    if not long:
+        return NOTICE.search(s) is not None
+    if _REPORTS.search(s):
+        return False
+    return any(not _TOPIC.fullmatch(m.group()) or _ASKS.search(s) for m in NOTICE.finditer(s))
 
 
 #: Sentences that speak of such messages instead of being one.

@@ -334,3 +334,26 @@ def test_residue_follows_long_chains(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.hop for r in residue.residue(df).collect()} == {i: i for i in range(11)}
     assert {r.doc_id for r in residue.residue(df, hops=2).collect()} == {0, 1, 2}
+
+
+LONG_NOTICES = [
+    "<html><head><title>Error</title></head><body>" + '<div class="wrapper outer-frame" data-role="none"></div>' * 30 + "<p>The page you requested could not be found.</p></body></html>",
+    "\n".join(["Home | News | Archive | Forum | Shop | About"] * 30) + "\nAccess to this page is forbidden.",
+    "Traceback (most recent call last):\n" + "".join(f'  File "/srv/app/part{i}.py", line {i}, in handler\n    return forward(request, state, limit)\n' for i in range(1, 40)) + "ValueError: no such state",
+    "We use cookies to keep your session open. You must accept cookies before you go on. Please enable scripts in your browser and reload the page. " * 8,
+]
+LONG_TEXTS = [
+    "The baker bought a book on JavaScript. A script is a list of steps that a machine takes one by one. Cookies were invented for shops. In the old days scripts ran on paper tape. Many a script was lost in the fire of that year. " * 8,
+    "The server error came up once in the night and was fixed. " + "Pumps move water from the low field to the high field. " * 30,
+    'A short note on stacks.\nTraceback (most recent call last):\n  File "a.py", line 3, in f\n    g()\nValueError: x\n' + "Read it from below, as the last line tells what went amiss and the lines above tell the way there. " * 10,
+]
+
+
+@pytest.mark.parametrize("text", LONG_NOTICES)
+def test_long_notices(text):
+    assert len(text) > 900 and residue.label_of(text) == "notice"
+
+
+@pytest.mark.parametrize("text", LONG_TEXTS)
+def test_long_texts_are_no_notices(text):
+    assert residue.label_of(text) is None
