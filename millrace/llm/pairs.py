@@ -7,7 +7,7 @@ triggered defect type is emitted, in the order of ORDER; the first one is the
 pair's defect.
 
 A defect excludes those that make no sense beside it: an empty response has no
-other defect, a refusal or a copy has no wrong language.
+other defect, a refusal has no wrong language.
 
 Nulls: a null or blank response is `empty`; a null prompt can be neither copied
 nor compared in language.  A null rollout_id gives no row.  Deliveries of one
@@ -281,7 +281,7 @@ def rules(prompt: str | None, text: str | None) -> list[str]:
         out.append("refusal")
     if prompt and is_copy(prompt, text):
         out.append("copy")
-    if prompt and not out and is_other_language(prompt, text):
+    if prompt and "refusal" not in out and is_other_language(prompt, text):
         out.append("language")
     return out
 
@@ -305,8 +305,8 @@ def broken_pairs(
     every = plain.unionByName(cut).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("defects"))).alias("d"))
     order = F.array(*[F.lit(x) for x in ORDER])
     defects = F.array_intersect(order, "d")
-    # an empty response has no other defect; language is told only of pairs without another one
-    defects = F.when(F.array_contains("d", "empty"), F.array(F.lit("empty"))).when(F.size("d") > 1, F.array_except(defects, F.array(F.lit("language")))).otherwise(defects)
+    # an empty response has no other defect; refusals are never also language
+    defects = F.when(F.array_contains("d", "empty"), F.array(F.lit("empty"))).when(F.array_contains("d", "refusal"), F.array_except(defects, F.array(F.lit("language")))).otherwise(defects)
     return every.select(F.col("id").alias("rollout_id"), defects.alias("defects")).withColumn("defect", F.element_at("defects", 1))
 
 

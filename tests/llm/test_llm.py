@@ -357,3 +357,11 @@ def test_long_notices(text):
 @pytest.mark.parametrize("text", LONG_TEXTS)
 def test_long_texts_are_no_notices(text):
     assert residue.label_of(text) is None
+
+
+def test_language_beside_other_defects(spark):
+    prompt = "How many of the apples are in the box?"
+    rows = [(1, prompt, "Es gibt in der Kiste nicht mehr als vier Äpfel und auch in der ..."), (2, prompt, "Es gibt in der Kiste nicht mehr als vier Äpfel."), (3, prompt, "Leider kann ich dabei nicht helfen."), (4, prompt, "")]
+    df = spark.createDataFrame(rows, "rollout_id long, prompts string, responses string").withColumn("data_source", F.lit("s"))
+    got = {r.rollout_id: (set(r.defects), r.defect) for r in pairs.broken_pairs(df).collect()}
+    assert got[1] == ({"truncated", "language"}, "truncated") and "language" in got[2][0] and "refusal" in got[3][0] and "language" not in got[3][0] and got[4] == ({"empty"}, "empty")
