@@ -41,6 +41,7 @@ add("flow_score_by_source", lambda s, f: base(s, f).groupBy("data_source", "step
 # ---- sources
 add("scan_files_in_order", lambda s, f: readers.parquet_files(s, [f"{f}/{t}.parquet" for t in ("region", "nation")]).groupBy("file_idx").agg(F.count("*").alias("n"), F.max("row_idx").alias("last_row")), "SELECT CAST(0 AS INT) AS file_idx, count(*) AS n, count(*) - 1 AS last_row FROM region UNION ALL SELECT 1, count(*), count(*) - 1 FROM nation")
 add("scan_normalised_samples", lambda s, f: readers.normalised_samples(read(s, f, "eval_items").withColumn("idx", F.col("item_id")), "heldout", "idx", 100), "SELECT 'heldout_' || item_id AS id, question, answer FROM (SELECT * FROM eval_items ORDER BY item_id LIMIT 100) WHERE question <> ''")
+add("scan_normalised_all", lambda s, f: readers.normalised_samples(read(s, f, "eval_items").withColumn("idx", F.col("item_id")), "heldout", "idx"), "SELECT 'heldout_' || item_id AS id, question, answer FROM eval_items WHERE question <> ''")
 add("scan_lifted", lambda s, f: readers.lifted(read(s, f, "rl_records")).select("uid", "index", "score"), "SELECT uid, coalesce(extra_info.index, 0) AS index, 0.6::DOUBLE AS score FROM rl_records")
 add("scan_short_prompts", lambda s, f: readers.short_prompts(read(s, f, "rollouts").where("prompts is not null"), "prompts", 40).select("rollout_id"), r"SELECT rollout_id FROM rollouts WHERE prompts IS NOT NULL AND len(regexp_split_to_array(trim(prompts, ' '), '\s+')) <= 40")
 add("scan_messages", lambda s, f: read(s, f, "rl_records").select("uid", F.posexplode("prompt").alias("turn", "m")).select("uid", "turn", "m.role", "m.content"), "SELECT uid, CAST(unnest(range(len(prompt))) AS INT) AS turn, unnest(prompt).role AS role, unnest(prompt).content AS content FROM rl_records")
@@ -102,7 +103,17 @@ add("stream_first_deliveries", lambda s, f: _stream(s, f, lambda e: T.first_deli
 # ---- sequential operators
 add("custom_balanced_parts", lambda s, f: custom.balanced_parts(read(s, f, "sequences").select("seq_id", F.size("input_ids").alias("n")).distinct().withColumn("batch", F.pmod("seq_id", F.lit(20))), "batch", "seq_id", "n", 4).groupBy("batch", "part").agg(F.count("*").alias("rows")))
 add("custom_greedy_parts", lambda s, f: custom.balanced_parts(read(s, f, "sequences").select("seq_id", F.size("input_ids").alias("n")).distinct().withColumn("batch", F.pmod("seq_id", F.lit(20))), "batch", "seq_id", "n", 4, "greedy").groupBy("batch").agg(F.count("*").alias("rows")), "SELECT seq_id % 20 AS batch, count(DISTINCT seq_id) AS rows FROM sequences GROUP BY 1")
-add("custom_cluster_shares", lambda s, f: custom.cluster_shares(read(s, f, "eval_items").withColumn("batch", F.col("item_id") % 20), "batch", "item_id", "question"))
+#: Questions of a training batch, in the mean; the number of batches follows the table.
+BATCH = 128
+
+
+def _cluster_shares(s, f):
+    q = read(s, f, "rl_records").where("uid is not null").groupBy("uid").agg(F.max("extra_info.question").alias("question"))
+    batches = max(1, -(-q.count() // BATCH))
+    return custom.cluster_shares(q.withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches))), "batch", "uid", "question")
+
+
+add("custom_cluster_shares", _cluster_shares)
 add("custom_first_match_groups", lambda s, f: custom.first_match_groups(read(s, f, "rollouts").where("uid is not null").select("uid", "rollout_id", "pred").distinct(), "uid", "rollout_id", "pred").groupBy("uid").agg(F.countDistinct("representative").alias("groups")), "SELECT uid, count(DISTINCT pred) AS groups FROM rollouts WHERE uid IS NOT NULL AND pred IS NOT NULL AND pred <> '' GROUP BY uid")
 
 
@@ -111,7 +122,7 @@ def _repetition(x: pd.Series) -> pd.Series:
     return x.map(lambda t: custom.repetition(t) if t else 0.0)
 
 
-add("custom_repetition", lambda s, f: read(s, f, "eval_items").select("item_id", _repetition("question").alias("value")))
+add("custom_repetition", lambda s, f: read(s, f, "rollouts").where("rollout_id is not null").groupBy("rollout_id").agg(F.max("responses").alias("responses")).select("rollout_id", _repetition("responses").alias("value")))
 add("custom_sql_text", lambda s, f: _sql(s, f), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 
 

@@ -215,3 +215,16 @@ def test_registered_without_llm():
 
     code = "import sys; sys.modules['millrace.llm'] = None\nimport millrace.catalog as c; assert len(c.queries()) > 100"
     assert subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).resolve().parents[1])).returncode == 0
+
+
+def test_sequential_queries_cover_whole_tables(spark, sf):
+    from millrace import catalog
+
+    q = catalog.queries()
+    texts = {r.rollout_id: r.responses for r in spark.read.parquet(f"{sf}/rollouts.parquet").where("rollout_id is not null").collect()}
+    got = {r.rollout_id: r.value for r in q["custom_repetition"](spark, sf).collect()}
+    assert set(got) == set(texts) and all(got[i] == pytest.approx(custom.repetition(x) if x else 0.0) for i, x in texts.items())
+    uids = {r.uid for r in spark.read.parquet(f"{sf}/rl_records.parquet").where("uid is not null and extra_info.question is not null").collect()}
+    shares = q["custom_cluster_shares"](spark, sf).collect()
+    assert sorted(r.uid for r in shares) == sorted(uids)
+    assert q["scan_normalised_all"](spark, sf).count() == spark.read.parquet(f"{sf}/eval_items.parquet").where("question <> ''").count() > 100
