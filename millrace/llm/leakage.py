@@ -1,20 +1,15 @@
 """Evaluation texts leaking into training text (problem 6).
 
-Method: a size-partitioned MinHash containment search (an ensemble of MinHash
-indexes, one for each range of document sizes) finds short test items inside
-long documents; exact shingle containment verifies what it finds.
+Method: an exact lookup of shingles, verified word by word, not by hash.
 
 A leak is a run of RUN consecutive words of an item, so the sets compared are
 runs of RUN words, and a single shared run counts: the containment threshold is
-one shingle of the item.  For a document of n shingles such a threshold needs a
-signature whose number of bins follows n; that is what the partition by size is
-for.  Each size class has its own number of bins m (the next power of two over
-its largest n); a document's signature holds the smallest hash of each bin.  An
-item is indexed once for each size class with the same m, so equal (class, bin,
-minimum) is a candidate.  Two shingles of a document in one bin hide each other;
-the hidden ones are put into further signature layers until none is left, so no
-document shingle is lost and the search is complete.  Candidates are verified
-word by word, not by hash.
+one shingle of the item.  A size-partitioned MinHash ensemble was the method
+named.  At a threshold of one shingle no signature may leave out any shingle of
+a document: signature_layers puts the shingles that a bin's minimum hides into
+further layers until none is left.  Size class and bin therefore only decide in
+which layer a shingle comes out, and take no part in the lookup: every shingle
+of a document is looked up in one sorted list of all item shingles.
 
 Nulls: a null or blank text or question has no words and gives no row, nor does
 a row with a null id.  Ties
@@ -70,7 +65,7 @@ def signature_layers(s: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nd
 
 
 class ItemIndex:
-    """The items' side: for every size class the sorted bin minima, layered like the documents'."""
+    """The items' side: one sorted list of all item shingles, without size class or bin."""
 
     def __init__(self, ids: list[int], questions: list[str], run: int):
         self.run = run
@@ -84,7 +79,7 @@ class ItemIndex:
         self.keys, self.owner, self.at = s[order], owner[order], at[order]
 
     def probe(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of value, row of the index) with equal bin minima."""
+        """Pairs (row of value, row of the index) with equal shingles."""
         lo = np.searchsorted(self.keys, value, "left")
         hi = np.searchsorted(self.keys, value, "right")
         hit = np.flatnonzero(hi > lo)
@@ -164,7 +159,7 @@ def _table(ids: np.ndarray, texts: list[str], ix: ItemIndex, run: int) -> pa.Rec
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, run: int) -> DataFrame:
-    """The same search for item tables of any size: all signature layers are joined by (hash)."""
+    """The same search for item tables of any size: all shingles are joined by their hash."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
