@@ -63,7 +63,7 @@ def test_pair_rules(prompt, text, want):
     [
         (None, truncation.EMPTY), ("", truncation.EMPTY), ("A whole sentence.", truncation.WHOLE), ("It was cut...", truncation.CUT), ("text [output cut]", truncation.CUT), ('{"a": [1, 2', truncation.CUT),
         ('{"a": [1, 2]}', truncation.WHOLE), ("[1, 2, 3", truncation.CUT), ("code\n```python\nx = 1", truncation.CUT), ("a | b\n1 | 2\n3", truncation.CUT), ("r 0 s 1.5\nr 1 s 2.5\nr 2", truncation.CUT),
-        ("<think>a b. ", truncation.CUT), ("so \\boxed{12", truncation.CUT), ("The answer is 4", truncation.ASK), ("True", truncation.ASK), ("x" * 100_000, truncation.CUT),
+        ("<think>a b. ", truncation.CUT), ("so \\boxed{12", truncation.CUT), ("The answer is 4", truncation.ASK), ("True", truncation.ASK), ("x" * 100_000, truncation.ASK), ("x " * 100_000, truncation.ASK),
     ],
 )
 def test_ends(text, state):
@@ -81,6 +81,77 @@ def test_near_copy_that_ends_early(spark):
     assert truncation.judged_ends(df.limit(0), "f", "id", "text", "source").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("short", "long", "want"),
+    [
+        ("one two three four five six sev", "One two three, four five six seven eight.", True), ("one two three four five six", "One two three, four five six seven eight.", True),
+        ("one two three four five six.", "One two three four five six. Seven eight.", False), ("one two three four five six", "One two three four five six. Seven eight.", False),
+        ("one two three four (five six)", "one two three four (five six) seven eight", True), ("a b c:\n- one two.\n- three four.", "a b c:\n- one two.\n- three four.\n- five six.", True),
+        ("a b c:\n- one two.\n- three four.", "a b c:\n- one two.\n- three four.\nAll in all it ends.", False), ("h | k\n1 | 2\n3 | 4", "h | k\n1 | 2\n3 | 4\n5 | 6", True),
+        ("one two three four five six", "other words stand here and not the same as there", False), ("one two three four five six", "one two three four five six", False), ("", "x y", False), ("x", "", False),
+    ],
+)
+def test_ends_early(short, long, want):
+    assert truncation.ends_early(short, long) is want
+
+
+def planted_cuts(rnd, n):
+    """Texts, and copies of most of them with small edits that are cut inside a word."""
+    whole = [" ".join(rnd.choice(WORDS) for _ in range(rnd.randint(40, 240))) + "." for _ in range(n)]
+    short = []
+    for t in whole:
+        w = t.split()
+        for i in range(len(w)):
+            if rnd.random() < 0.02:
+                w[i] = rnd.choice(WORDS)
+        if rnd.random() < 0.5:
+            w.insert(rnd.randrange(len(w)), rnd.choice(WORDS))
+        short.append(" ".join(w[: max(20, int(len(w) * rnd.uniform(0.3, 0.95)))])[:-1])
+    return whole, short
+
+
+@pytest.mark.parametrize("hot", [64, 2, 0])
+def test_cut_copies_are_found(spark, hot):
+    rnd = random.Random(9)
+    whole, short = planted_cuts(rnd, 150)
+    restated = text_of(rnd, 70)  # one bucket that many texts share
+    whole += [f"{restated} {text_of(rnd, 30)}." for _ in range(60)]
+    short += [t[: len(t) - rnd.randint(5, 90)] for t in whole[-60:]]
+    rows = [(i, t) for i, t in enumerate(whole + short + short[:20])]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    ev = truncation.written(truncation.evidence(df.withColumn("g", F.lit("s")), "f", "id", "text", "g"), "ev")
+    nodes = {r.id: r.node for r in ev.where("kind = 'v'").collect()}
+    early = {r.node for r in truncation.aligned_cuts(df, truncation.near_copies(ev, df, "id", "text", hot), "id", "text").collect()}
+    true = {i for i, s in enumerate(short, len(whole)) if any(truncation.ends_early(s, w) for w in whole)}
+    got = {i for i, _ in rows if nodes[i] in early}
+    print(f"hot {hot}: {len(true & got)} of {len(true)} cut copies found")
+    assert len(true & got) >= 0.95 * len(true) and not any(i < len(whole) for i in got)
+    assert all(i in got for i in range(len(whole + short), len(rows)) if i - len(short) in true & got)
+
+
+def test_hot_buckets_lose_nothing(spark):
+    rnd = random.Random(10)
+    whole, short = planted_cuts(rnd, 80)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(whole + short)], "id long, text string")
+    ev = truncation.written(truncation.evidence(df.withColumn("g", F.lit("s")), "f", "id", "text", "g"), "ev")
+    early = [{r.node for r in truncation.aligned_cuts(df, truncation.near_copies(ev, df, "id", "text", hot), "id", "text").collect()} for hot in (64, 0)]
+    assert early[0] == early[1] and len(early[0]) > 60
+
+
+def test_unmarked_ends_are_whole(spark):
+    """Complete sentences without a final mark, of any length, where the corpus writes so."""
+    ends = [
+        "The committee agreed to publish the findings early next spring", "We can compute the sum directly and the result is 42", "Answer: the train from Leeds arrives at noon on Tuesday morning", "Nothing more was said about it in the long report of the year",
+    ]
+    words = [x.split()[-1] for x in ends]
+    rnd = random.Random(1)
+    filler = [f"{text_of(rnd, 9)} {rnd.choice(words)}\n{text_of(rnd, 10)} {rnd.choice(words)}\n{text_of(rnd, 5)} the {text_of(rnd, 3)} {rnd.choice(words)}" for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(ends + ["We can compute the sum directly and the"] + filler)]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("g", F.lit("s"))
+    got = {r.id: r.cut for r in truncation.judged_ends(df, "f", "id", "text", "g").collect()}
+    assert [got[i] for i in range(5)] == [False, False, False, False, True]
+
+
 def test_pairs_on_tables(spark, sf):
     got = pairs.broken_pairs(read(spark, sf, "rollouts")).collect()
     assert len({r.rollout_id for r in got}) == len(got) and {r.defect for r in got} <= set(pairs.ORDER)
