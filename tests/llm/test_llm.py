@@ -110,7 +110,7 @@ def planted_cuts(rnd, n):
     return whole, short
 
 
-@pytest.mark.parametrize("hot", [64, 2, 0])
+@pytest.mark.parametrize("hot", [1_000, 8, 0])
 def test_cut_copies_are_found(spark, hot):
     rnd = random.Random(9)
     whole, short = planted_cuts(rnd, 150)
@@ -134,7 +134,7 @@ def test_hot_buckets_lose_nothing(spark):
     whole, short = planted_cuts(rnd, 80)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(whole + short)], "id long, text string")
     ev = truncation.written(truncation.evidence(df.withColumn("g", F.lit("s")), "f", "id", "text", "g"), "ev")
-    early = [{r.node for r in truncation.aligned_cuts(df, truncation.near_copies(ev, df, "id", "text", hot), "id", "text").collect()} for hot in (64, 0)]
+    early = [{r.node for r in truncation.aligned_cuts(df, truncation.near_copies(ev, df, "id", "text", hot), "id", "text").collect()} for hot in (1_000, 0)]
     assert early[0] == early[1] and len(early[0]) > 60
 
 
@@ -256,12 +256,24 @@ def test_leakage(spark, index_bytes):
     assert leakage.leaked_items(d.limit(0), q, index_bytes=index_bytes).count() == 0 and leakage.leaked_items(d, q.limit(0), index_bytes=index_bytes).count() == 0
 
 
-def test_signature_layers_lose_nothing():
-    rnd = np.random.default_rng(1)
-    s = np.sort(rnd.integers(0, 2**63, 500).astype(np.uint64))
-    o = np.array([0, 100, 100, 500])
-    got = np.concatenate([v for _, _, v in leakage.signature_layers(s, o)])
-    assert sorted(got.tolist()) == s.tolist()
+def test_window_minima_miss_no_common_run():
+    """Every common run of ten words of brute force is met by a minimum, and the minima are few."""
+    rnd = random.Random(12)
+    items = [text_of(rnd, rnd.randint(8, 60)) for _ in range(60)]
+    docs = []
+    for _ in range(200):
+        w = items[rnd.randrange(60)].split()
+        at = rnd.randrange(max(1, len(w) - 9))
+        docs.append(f"{text_of(rnd, rnd.randint(0, 300))} {' '.join(w[at : at + rnd.randint(5, 20)])} {text_of(rnd, rnd.randint(0, 90))}")
+    ix = leakage.ItemIndex(list(range(60)), items, leakage.RUN)
+    got = {(d, i): n for d, i, n, _ in leakage._verified(np.arange(200), docs, ix)}
+    want = {}
+    for d, t in enumerate(docs):
+        runs = leakage.text_runs(t, leakage.RUN)
+        want |= {(d, i): n for i, q in enumerate(items) if (n := len(runs & leakage.item_runs(q, leakage.RUN)))}
+    assert got == want and len(want) > 80
+    h, o = T.word_hashes(docs)
+    assert len(leakage.window_minima(h, o)[1]) < 0.4 * len(h)
 
 
 # ---- 7
