@@ -18,15 +18,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens as T
-from millrace.llm.truncation import judged_ends
+from millrace.llm.truncation import evidence, judged
+from millrace.session import written
 
 ORDER = ["empty", "truncated", "refusal", "copy", "language"]
 
@@ -230,13 +229,26 @@ _REQUEST = re.compile(
 _REQUEST_SENTENCE = re.compile(r"\([^()]*\)|[^.?!。？！()\n]*[.?!。？！]?")
 
 
+#: In lower case, a part of every text in which _REQUEST finds a language.
+_NAME_SIGNS = tuple({re.sub(r"\\w\*$", "", n) for v in LANGUAGE_NAMES.values() for n in v.split("|")})
+
+
+def _names_a_language(prompt: str) -> bool:
+    low = prompt.lower()
+    return any(n in low for n in _NAME_SIGNS)
+
+
 def asked_languages(prompt: str) -> set[str]:
     """The languages a prompt asks the reply to be in."""
+    if not _names_a_language(prompt):
+        return set()
     return {k for m in _REQUEST.finditer(prompt) for k, v in m.groupdict().items() if v}
 
 
 def without_requests(prompt: str) -> str:
     """The prompt without the sentences that ask for a language."""
+    if not _names_a_language(prompt):
+        return prompt
     return "".join(m.group() for m in _REQUEST_SENTENCE.finditer(prompt) if not _REQUEST.search(m.group()))
 
 
@@ -291,17 +303,9 @@ def broken_pairs(
 ) -> DataFrame:
     """(rollout_id, defects, defect): the defective pairs with all defects and the first one."""
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [rules(p, t) for p, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            mask = pa.array([bool(f) for f in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), pa.array([f for f in found if f], pa.list_(pa.string()))], names=["id", "defects"])
-
-    base = df.where(F.col(row_id).isNotNull()).select(
-        F.col(row_id).cast("long").alias("id"), F.col(prompt).cast("string").alias("p"), F.col(response).cast("string").alias("r")
-    )
-    plain = base.mapInArrow(judge, "id long, defects array<string>")
-    cut = judged_ends(df, "responses", row_id, response, group, prompt).where("cut").select("id", F.array(F.lit("truncated")).alias("defects"))
+    ev = written(evidence(df, "responses", row_id, response, group, prompt, rules), "evidence")
+    plain = ev.where("kind = 'v' and size(found) > 0").select("id", F.col("found").alias("defects"))
+    cut = judged(ev, df, row_id, response).where("cut").select("id", F.array(F.lit("truncated")).alias("defects"))
     every = plain.unionByName(cut).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("defects"))).alias("d"))
     order = F.array(*[F.lit(x) for x in ORDER])
     defects = F.array_intersect(order, "d")

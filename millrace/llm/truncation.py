@@ -20,10 +20,10 @@ All counts cover all values and closings of any length (long ones as a hash);
 digits are masked, so a closing is a pattern.  A value delivered twice counts once.
 
 Equal texts are one node in the search.  A bucket of up to HOT_BUCKET nodes is
-compared with all its longer nodes.  In a larger one a value goes on with its last
-runs: it shares at least SIMILARITY of its runs with a partner, so any
-1 - SIMILARITY of them plus one hold a common run, and only partners that hold one
-are read.  This is exact; the runs of hot buckets are spread by salts.
+compared with all its longer nodes.  In a larger one a value is compared with those
+that hold its last two whole words in a row, followed by another word: without them
+no alignment can reach its end, so this is exact; hot pairs of words are spread by
+salts.
 
 Nulls and empty texts are no cases; a null id gives no row; a null group counts
 under null.  Empty tables give empty results.  Extra columns are ignored.
@@ -34,8 +34,9 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens as T
+from millrace.operators.joins import spread_join
 from millrace.session import small_side, written
 
 #: Closings of more characters are counted under their hash.
@@ -50,10 +52,8 @@ LONG = 40
 SHINGLE = 5
 #: Length of the first segments, and min-hash bands of one row each.
 SEGMENT, BANDS = 8, 3
-#: Nodes of a bucket that are compared with all others; in larger buckets the last runs choose the partners.
-HOT_BUCKET = 64
-#: Rows of one key that go to one task.
-SALT_ROWS = 2_000
+#: Nodes of a bucket that are compared with all others; in larger buckets the last words choose the partners.
+HOT_BUCKET = 8
 #: Last fields of a line that make the context of its closing.
 FIELDS = 4
 #: A closing is dominated if longer closings that begin with it are so many times as frequent.
@@ -71,12 +71,13 @@ MARK = re.compile(r"(?:\.\.\.|…|�|[\[(<{]\s*(?:\w+ ){0,2}(?:cut|cut off|trun
 _STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"')
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W\d_]+")
+_MARKS = frozenset(".!?。！？")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _TERMINAL = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$")
+#: Ends that nothing is missing behind: a final mark, or the end of a marked answer.
+_DONE = re.compile(_TERMINAL.pattern + r"|</\w+>$|```$|\*\*$|\\boxed\{[^{}]*\}\$?$")
 _ITEM = re.compile(r"\s*(?:[-*•–]|\(?(?:\d{1,3}|[A-Za-z])[.)])\s")
-_SEGMENT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
 _ENDS = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$|</\w+>$|```$|\*\*$|\\boxed\{[^{}]*\}\$?$|[\])}]$")
-_OPEN_TAIL = re.compile(r"</?[A-Za-z]*$|\\[A-Za-z]*$|(?<!\*)\*$|(?<!`)``?$")
 _STRUCTURED = re.compile(r"\d|\||^\s*[-*•]")
 
 
@@ -105,6 +106,13 @@ def _unclosed(t: str) -> bool:
     return t.count("**") % 2 == 1
 
 
+def _open_tail(t: str) -> bool:
+    """Whether a tag, a command or a mark is begun at the very end."""
+    if t.rstrip(ascii_letters).endswith(("<", "</", "\\")):
+        return True
+    return (t[-1] == "*" and t[-2:] != "**") or (t[-1] == "`" and t[-3:] != "```")
+
+
 def closing(segment: str) -> str:
     """The masked closing; a long one as its hash, which is counted like any other."""
     tail = _DIGITS.sub("9", segment.lower())
@@ -135,11 +143,10 @@ def end_of(text: str | None) -> tuple[int, str, str, list[tuple[str, str]], str,
             bare = _STRINGS.sub("", t)
             if bare.count("{") + bare.count("[") > bare.count("}") + bare.count("]") or bare.count('"') % 2:
                 return CUT, "", "", [], "", False
-    if _unclosed(t) or _OPEN_TAIL.search(t):
+    if _unclosed(t) or _open_tail(t):
         return CUT, "", "", [], "", False
     lines = [x for x in t.split("\n") if x.strip()]
     if len(lines) > 1:
-        last = shape(lines[-1])
         if " | " in lines[0]:
             if lines[-1].count("|") != lines[0].count("|") or not lines[-1].rsplit("|", 1)[1].strip():
                 return CUT, "", "", [], "", False
@@ -147,6 +154,7 @@ def end_of(text: str | None) -> tuple[int, str, str, list[tuple[str, str]], str,
         else:
             body = lines
         above = [shape(x) for x in body[-3:-1]]
+        last = shape(lines[-1]) if above or " | " in lines[0] else ""
         if len(above) == 2 and above[0] == above[1] and _STRUCTURED.search(above[0]) and not _ENDS.search(lines[-2]):
             if last != above[0]:
                 return CUT, "", "", [], "", False
@@ -154,9 +162,10 @@ def end_of(text: str | None) -> tuple[int, str, str, list[tuple[str, str]], str,
             ctx = "L" + _fields(last)
             inner = [("L" + _fields(shape(x)), _DIGITS.sub("9", x.rsplit(None, 1)[-1])) for x in body[:-1]]
             return ASK, ctx, _DIGITS.sub("9", lines[-1].rsplit(None, 1)[-1]), inner, lines[-1], True
-    seg = _SEGMENT.split(t)[-1].strip() or lines[-1]
-    if _ENDS.search(t):
-        return WHOLE, "E", closing(seg), [], lines[-1], _TERMINAL.search(t) is None or _ITEM.match(lines[-1]) is not None
+    seg = _SENTENCE.split(lines[-1])[-1].strip() or lines[-1]
+    marked = t[-1] in _MARKS
+    if marked or _ENDS.search(t):
+        return WHOLE, "E", closing(seg), [], lines[-1], not (marked or _DONE.search(t)) or _ITEM.match(lines[-1]) is not None
     return ASK, "E1" if seg == t.strip() else "E", closing(seg), [], lines[-1], True
 
 
@@ -175,12 +184,13 @@ def segment_counts(text: str, opens: Counter, lines: Counter, closers: list[str]
         for x in parts:
             w = x.split(None, 1)[0]
             opens[_DIGITS.sub("9", w.lower()) if len(w) <= LONG else ""] += 1
-        marked = _ENDS.search(row.rstrip()) is not None
-        closers += parts[:-1]
+        end = parts[-1].rstrip()
+        marked = end[-1] in _MARKS or _ENDS.search(end) is not None
+        closers += [x.rsplit(None, 1)[-1] for x in parts[:-1]]
         if k + 1 < len(rows):
             lines[kind_of(parts), marked] += 1
         if marked or k + 1 < len(rows):
-            closers.append(parts[-1])
+            closers.append(end.rsplit(None, 1)[-1])
 
 
 _MULTIPLIERS = T.mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -211,7 +221,7 @@ def band_keys(s: np.ndarray, so: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _EVIDENCE = (
-    "kind string, field string, id long, grp string, state int, ctx string, tail string, n long, size int, bands array<long>, last int, node long, look string, word long, probe boolean"
+    "kind string, field string, id long, grp string, state int, ctx string, tail string, n long, size int, bands array<long>, last int, node long, look string, word long, probe boolean, found array<string>"
 )
 
 
@@ -243,8 +253,8 @@ def word_counts(h: np.ndarray, numbers: int, closers: list[str]) -> tuple[np.nda
     return u, n, ends
 
 
-def evidence(df: DataFrame, field: str, row_id: str, text: str, group: str, exempt: str | None = None) -> DataFrame:
-    """One pass over the texts: a row for each value (kind v), and counts of inner closings (c), openings (o), complete lines (l) and words (w)."""
+def evidence(df: DataFrame, field: str, row_id: str, text: str, group: str, exempt: str | None = None, rules: Callable[[str | None, str | None], list[str]] | None = None) -> DataFrame:
+    """One pass over the texts: a row for each value (kind v) with what the rules find in (exempt, text), and counts of inner closings (c), openings (o), complete lines (l) and words (w)."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,6 +301,7 @@ def evidence(df: DataFrame, field: str, row_id: str, text: str, group: str, exem
                     only_values(pa.array([kind_of(x) if x else None for x in doubt], pa.string())),
                     only_values(pa.array(T.signed(last_words([x[-1] if x else "" for x in doubt])))),
                     only_values(pa.array([e[5] for e in ends], pa.bool_())),
+                    only_values(pa.array([rules(s, t) for s, t in zip(spared or [None] * n, texts)] if rules else [None] * n, pa.list_(pa.string()))),
                 ],
                 names=[c.split()[0] for c in _EVIDENCE.split(", ")],
             )
@@ -371,25 +382,21 @@ def closing_scores(ev: DataFrame) -> DataFrame:
 # ---- near-copies --------------------------------------------------------------------------------------------------
 
 
-def spread_join(a: DataFrame, b: DataFrame, keys: list[str], rows: int = SALT_ROWS) -> DataFrame:
-    """a join b on keys; a key with many rows of b goes to several tasks, its rows of a to each of them."""
-    n = b.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > rows).withColumn("salts", F.ceil(F.col("n") / rows).cast("int")).drop("n")
-    n = written(n, "hot")
-    side = small_side(n)
-    left = a.join(side, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    right = b.join(side, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*b.columns), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-    return left.join(right, [*keys, "salt"]).drop("salt")
-
-
-def run_lists(df: DataFrame, ids: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(id, runs): the runs of the texts with the given ids, in their order; of deliveries with several texts the greatest."""
+def bigram_lists(df: DataFrame, ids: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(id, inner, last): hashes of two words in a row that a third one follows, and the last of them, for the texts with the given ids."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, so = T.shingle_hashes(*T.word_hashes(b.column(1).to_pylist()), SHINGLE)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(so.astype(np.int32)), pa.array(T.signed(s)))], names=["id", "runs"])
+            s, so = T.shingle_hashes(*T.word_hashes(b.column(1).to_pylist()), 2)
+            n = np.maximum(np.diff(so) - 1, 0)
+            at = np.repeat(so[:-1] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
+            last = np.append(s, np.uint64(0))[np.maximum(so[1:] - 2, 0)]
+            d, do = T.distinct_by_text(s[at], np.concatenate(([0], np.cumsum(n))))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.ListArray.from_arrays(pa.array(do.astype(np.int32)), pa.array(T.signed(d))), pa.array(T.signed(last), mask=n == 0)], names=["id", "inner", "last"]
+            )
 
-    return written(texts_of(df, ids, row_id, text).mapInArrow(look, "id long, runs array<long>"), "runs")
+    return written(texts_of(df, ids, row_id, text).mapInArrow(look, "id long, inner array<long>, last long"), "bigrams")
 
 
 def texts_of(df: DataFrame, ids: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -416,15 +423,12 @@ def near_copies(ev: DataFrame, df: DataFrame, row_id: str, text: str, hot: int =
     if not crowded.isEmpty():
         mine, all_ = (x.join(small_side(crowded), "key", "left_semi") for x in (own, every))
         ids = written(mine.select("id").union(all_.select("long_id")).distinct(), "ids")
-        runs = run_lists(df, ids, row_id, text)
-        # a partner holds at least SIMILARITY of the runs, so one of any 1 - SIMILARITY of them plus one; the last run may hold a cut word
-        m = F.size("runs") - 1
-        ask = F.slice("runs", F.greatest(F.lit(1), m - F.floor((1 - SIMILARITY) * m).cast("int")), F.floor((1 - SIMILARITY) * m).cast("int") + 1)
-        a = mine.join(runs, "id").where("size(runs) > 1").select("key", "node", "id", "size", F.explode(F.array_distinct(ask)).alias("run"))
-        a = written(a, "asked_runs")
-        b = all_.join(runs.withColumnRenamed("id", "long_id"), "long_id").select("key", "long_node", "long_id", "long_size", F.explode(F.array_distinct("runs")).alias("run"))
-        b = b.join(small_side(written(a.select("key", "run").distinct(), "wanted_runs")), ["key", "run"], "left_semi")
-        met = spread_join(a, written(b, "held_runs"), ["key", "run"]).where(fits)
+        # an alignment ends with two whole words of both texts and a third one that may be cut: see aligned_end
+        grams = bigram_lists(df, ids, row_id, text)
+        a = written(mine.join(grams.drop("inner"), "id").where("last is not null").select("key", "node", "id", "size", F.col("last").alias("gram")), "asked_grams")
+        b = all_.join(grams.select(F.col("id").alias("long_id"), "inner"), "long_id").select("key", "long_node", "long_id", "long_size", F.explode("inner").alias("gram"))
+        b = b.join(small_side(written(a.select("key", "gram").distinct(), "wanted_grams")), ["key", "gram"], "left_semi")
+        met = spread_join(a, written(b, "held_grams"), ["key", "gram"]).where(fits)
         pairs = pairs.unionByName(met.select("node", "id", "long_id"))
     return pairs.distinct()
 
@@ -498,7 +502,11 @@ def aligned_cuts(df: DataFrame, pairs: DataFrame, row_id: str, text: str) -> Dat
 
 def judged_ends(df: DataFrame, field: str, row_id: str, text: str, group: str, exempt: str | None = None) -> DataFrame:
     """(field, id, grp, cut, by) for every value that is not empty, one row for each id; by: form, copy or closing, what shows a cut."""
-    ev = written(evidence(df, field, row_id, text, group, exempt), "evidence")
+    return judged(written(evidence(df, field, row_id, text, group, exempt), "evidence"), df, row_id, text)
+
+
+def judged(ev: DataFrame, df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """judged_ends from its evidence, a table of written()."""
     early = written(aligned_cuts(df, near_copies(ev, df, row_id, text), row_id, text), "early").withColumn("early", F.lit(True))
     scores = written(closing_scores(ev), "scores")
     v = ev.where("kind = 'v' and state <> 0").select("field", "id", "grp", "state", "ctx", "tail", "node", "probe")
