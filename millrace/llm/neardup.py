@@ -17,14 +17,20 @@ so it is replicated to these regions and no others, and a pair must meet in at
 least K of them.  The order may be any; it takes the word counts and the frequent
 runs of all documents, so that common runs are pivots last.
 
-A region of more than REGION documents (a large family of near-copies) is joined
-recursively with documents as pivots: members are put to their nearest pivot,
-pairs on both sides of a pivot within 1/2 of it are connected through it and
-need no look, and the others are replicated by the triangle inequality,
-|d(p, x) - d(p, y)| <= 1/2.  Regions that do not shrink are joined block by block.
+Documents that meet often enough, directly or over others, are a region of the
+metric space: nothing outside it can be linked to anything inside.  Each region is
+joined by `metric_join`: documents as pivots, members put to their nearest pivot,
+windows of the triangle inequality (|d(p, x) - d(p, y)| <= 1/2, and the hyperplane
+between two pivots) that replicate boundary documents to the other cores, pairs that
+a pivot already decides left uncounted, and recursion into the cores.  A region of
+more than REGION documents (a large family of near-copies) is joined by the same
+steps as jobs (`dense_links`); pairs on both sides of a pivot within 1/2 of it are
+connected through it there and need no look.  Regions that do not shrink are joined
+block by block.
 
 Documents with equal sets are one node from the start, so copies cost one row.
-What moves through shuffles is packed: a blob of hashes for each batch and range.
+What moves through shuffles is packed: a blob of hashes for each batch and each range
+that it has something for, never more blobs than hashes; every range is a task.
 
 Nulls: null texts, rows with a null id and documents of fewer than LEAST_WORDS
 words take no part and get no row.  Repeated rows of a document count once.
@@ -53,9 +59,16 @@ K = 6
 #: Runs in at least so many documents are pivots last; a partition reports those it holds LOCAL times.
 HOT, LOCAL = 10, 2
 #: Bounds of the two frequency tables (rows); beyond them the least frequent are left out of the order, which stays valid.
-FREQUENT_WORDS, FREQUENT_RUNS = 1_000_000, 4_000_000
+FREQUENT_WORDS, FREQUENT_RUNS = 250_000, 250_000
+#: Bytes of input for each range.
+RANGE_BYTES = 4 << 20
 REGION = 1_000
 PIVOTS = 8
+#: Regions of so few members are compared pair by pair.
+LEAF = 12
+#: Members of regions that one task joins together.
+TASK_MEMBERS = 5_000
+EPS = 1e-9
 ROUNDS = 6
 
 _U = np.uint64
@@ -74,12 +87,12 @@ def _sets(texts: list[str | None], ids: np.ndarray, least: int) -> tuple[np.ndar
     return ids[keep], h, o, s, so
 
 
-def _split(values: np.ndarray, where: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+def _split(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places) for the ranges that occur: the cost follows the values, not the number of ranges."""
     order = np.argsort(where, kind="stable")
-    edges = np.searchsorted(where[order], np.arange(ranges + 1))
-    for r in range(ranges):
-        if edges[r + 1] > edges[r]:
-            yield r, order[edges[r] : edges[r + 1]]
+    found, first = np.unique(where[order], return_index=True)
+    for r, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        yield r, order[lo:hi]
 
 
 def _blobs(rows: list[tuple[str, int, int, int, bytes]]) -> pa.RecordBatch:
@@ -105,8 +118,8 @@ def _first_pass(docs: DataFrame, ranges: int, least: int) -> DataFrame:
             for kind, parts, floor in (("w", words, 1), ("s", runs, LOCAL)):
                 u, n = np.unique(np.concatenate(parts), return_counts=True)
                 u, n = u[n >= floor], n[n >= floor]
-                where = (u & _LOW) % _U(ranges)
-                for r, at in _split(u, where, ranges):
+                where = ((u & _LOW) % _U(ranges)).astype(np.int64)
+                for r, at in _split(where):
                     rows.append((kind, r, 0, len(at), u[at].tobytes() + n[at].astype(np.uint32).tobytes()))
             words.clear()
             runs.clear()
@@ -134,8 +147,8 @@ def _first_pass(docs: DataFrame, ranges: int, least: int) -> DataFrame:
     return docs.mapInArrow(look, _FIRST)
 
 
-def _frequent(first: DataFrame, kind: str, floor: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts): the frequency table of words or runs, at most `most` rows."""
+def _frequent(first: DataFrame, kind: str, floor: int, most: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts): the most frequent words or runs, at most `most` rows (16 bytes each, so what is broadcast is bounded)."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = [], []
@@ -146,7 +159,7 @@ def _frequent(first: DataFrame, kind: str, floor: int, most: int) -> tuple[np.nd
         c = np.bincount(inv, np.concatenate(counts)).astype(np.int64)
         return pd.DataFrame({"h": T.signed(u[c >= floor]), "c": c[c >= floor]})
 
-    t = first.where(F.col("kind") == kind).groupBy("x").applyInPandas(total, "h long, c long")
+    t = first.where(F.col("kind") == kind).repartition(ranges, "x").groupBy("x").applyInPandas(total, "h long, c long")
     t = t.orderBy(F.desc("c"), "h").limit(most).toPandas()
     h = t["h"].to_numpy(np.int64).view(_U)
     order = np.argsort(h)
@@ -210,7 +223,7 @@ def _replicas(docs: DataFrame, order: Order, ranges: int, least: int, t: float)
             owner = np.repeat(np.arange(len(node)), size)[take]
             run, place = key[take] & _LOW, place[take]
             rows = []
-            for r, at in _split(run, (run % _U(ranges)).astype(np.int64), ranges):
+            for r, at in _split((run % _U(ranges)).astype(np.int64)):
                 own, local = np.unique(owner[at], return_inverse=True)
                 blob = b"".join(
                     [node[own].tobytes(), size[own].astype(np.uint32).tobytes(), (run[at] >> _U(16)).astype(np.uint32).tobytes(), (run[at] & _U(0xFFFF)).astype(np.uint16).tobytes(),
@@ -277,7 +290,7 @@ def _meet(t: float, region: int, ranges: int):
                 n = np.diff(np.append(first, len(x))) + bonus[first].astype(np.int64)
                 x, y, n = x[first], y[first], np.minimum(n, 255).astype(np.uint8)
                 where = (T.mix64(x ^ (y * _U(3))) % _U(ranges)).astype(np.int64)
-                for r, at in _split(x, where, ranges):
+                for r, at in _split(where):
                     rows.append(("p", r, 0, len(at), x[at].tobytes() + y[at].tobytes() + n[at].tobytes()))
         for cell, members in big:
             rows.append(("g", cell, 0, len(members), members.tobytes()))
@@ -304,6 +317,7 @@ def _often(pdf: pd.DataFrame) -> pd.DataFrame:
 def run_sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """(node, set): the sorted runs, as packed 64-bit hashes, of the wanted nodes; one document of each is read."""
     reps = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = written(wanted.distinct(), "wanted")
     reps = written(reps.join(small_side(wanted), "node", "left_semi").select("doc_id", "node"), "reps")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,37 +343,108 @@ def jaccard(a: bytes, b: bytes) -> float:
     return n / (len(x) + len(y) - n)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is at least t."""
+def _common(x: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sorted set x with sets that lie flat, none of them empty."""
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    return np.add.reduceat((x[at] == flat).astype(np.int64), start)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = pa.array([jaccard(x, y) >= t for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "p"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "q"}), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(check, "a long, b long")
+def metric_join(sets: list[np.ndarray], t: float = THRESHOLD, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j), i < j, of sets (sorted hashes, not empty, in a random order) whose Jaccard similarity is at least t."""
+    size = np.array([len(x) for x in sets], np.int64)
+    theta = 1 - t
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+
+    def similarity(i: int, others: np.ndarray) -> np.ndarray:
+        n = size[others]
+        common = _common(sets[i], np.concatenate([sets[j] for j in others]), np.concatenate(([0], np.cumsum(n)))[:-1])
+        return common / (size[i] + n - common)
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        left.append(np.minimum(a, b))
+        right.append(np.maximum(a, b))
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else []
+        for lo, hi in zip(first, [*first[1:], len(a)]):
+            ok = b[lo:hi][similarity(int(a[lo]), b[lo:hi]) >= t - EPS]
+            keep(np.full(len(ok), a[lo]), ok)
+
+    def decide(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        """Pairs with their distances x and y to all pivots: far and close ones by the triangle inequality, the others by their sets."""
+        open_ = np.abs(x - y).max(axis=0) <= theta + EPS
+        sure = open_ & ((x + y).min(axis=0) <= theta - EPS)
+        keep(a[sure], b[sure])
+        compare(a[open_ & ~sure], b[open_ & ~sure])
+
+    def join(members: np.ndarray) -> None:
+        if len(members) <= leaf:
+            i, j = np.triu_indices(len(members), 1)
+            return compare(members[i], members[j])
+        pivots = members[:PIVOTS]
+        d = np.stack([1 - similarity(int(p), members) for p in pivots])
+        nearest = d.argmin(axis=0)
+        cores = [np.flatnonzero(nearest == q) for q in range(len(pivots))]
+        if max(map(len, cores)) > 0.9 * len(members):
+            i, j = np.triu_indices(len(members), 1)
+            return decide(members[i], members[j], d[:, i], d[:, j])
+        own = d[nearest, np.arange(len(members))]
+        for q, core in enumerate(cores):
+            if not len(core):
+                continue
+            join(members[core])
+            window = np.flatnonzero((nearest > q) & (d[q] <= d[q, core].max() + theta + EPS) & (d[q] - own <= 2 * theta + EPS))
+            if len(window):
+                i, j = (z.ravel() for z in np.meshgrid(core, window, indexing="ij"))
+                decide(members[i], members[j], d[:, i], d[:, j])
+
+    join(np.arange(len(sets)))
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _least_of_component(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index of each one's component."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, i, low[j])
+        np.minimum.at(low, j, low[i])
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _region_classes(t: float):
+    """Joins whole regions: the class of every member and the number of documents that it is linked with."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in pdf.sort_values(["region", "node"]).groupby("region"):
+            node, copies = g["node"].to_numpy(), g["copies"].to_numpy()
+            i, j = metric_join([np.frombuffer(x, _U) for x in g["set"]], t)
+            n = copies - 1
+            np.add.at(n, i, copies[j])
+            np.add.at(n, j, copies[i])
+            out.append(pd.DataFrame({"node": node, "component": node[_least_of_component(len(node), i, j)], "n_links": n}))
+        return pd.concat(out)
+
+    return join
 
 
 def _region_links(t: float):
     """Exact join of one region in one task."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
+        pdf = pdf.drop_duplicates("node").sort_values("node")
         sets = [np.frombuffer(x, _U) for x in pdf["set"]]
         node = pdf["node"].to_numpy()
-        side = pdf["side"].to_numpy() if "side" in pdf else np.zeros(len(node), int)
-        flat, size = np.concatenate(sets), np.array([len(x) for x in sets])
-        start = np.concatenate(([0], np.cumsum(size)))[:-1]
-        out = []
-        for i, x in enumerate(sets):
-            at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-            n = np.add.reduceat((x[at] == flat).astype(np.int64), start)
-            hit = np.flatnonzero((n >= t * (size + len(x) - n)) & (np.arange(len(node)) > i))
-            if "side" in pdf:
-                hit = hit[side[hit] != side[i]]
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in hit]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        i, j = metric_join(sets, t)
+        return pd.DataFrame({"a": node[i], "b": node[j]})
 
     return join
 
@@ -394,14 +479,15 @@ def dense_links(members: DataFrame, sets: DataFrame, t: float = THRESHOLD, regio
         rest = now.join(small_side(large), "region").join(sets, "node")
         h = F.xxhash64("node", "region", F.lit(r))
         chosen = rest.groupBy("region", F.pmod(h, F.lit(PIVOTS)).alias("slot")).agg(F.min_by(F.struct("node", "set"), h).alias("p"))
-        pivots = chosen.groupBy("region").agg(F.collect_list("p").alias("pivots"))
-        far = written(rest.select("region", "node", "set").join(pivots, "region").mapInArrow(distances, schema), f"far{r}")
+        # a region has at most PIVOTS of them, so a region's row stays small
+        pivots = written(chosen.groupBy("region").agg(F.collect_list("p").alias("pivots")), "pivots")
+        far = written(rest.select("region", "node", "set").join(small_side(pivots), "region").mapInArrow(distances, schema), f"far{r}")
         each = far.select("region", "node", F.explode(F.arrays_zip(F.col("pivots").alias("q"), F.col("d").alias("dq"))).alias("z"), F.array_min("d").alias("nearest")).select("region", "node", "z.*", "nearest")
-        out.append(written(each.where((F.col("dq") <= theta) & (F.col("q") != F.col("node"))).select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")), f"star{r}"))
+        out.append(written(each.where((F.col("dq") <= theta + EPS) & (F.col("q") != F.col("node"))).select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")), f"star{r}"))
         core = each.where("dq = nearest").groupBy("region", "q").agg(F.max("dq").alias("radius"))
-        open_side = each.where(F.col("dq") > theta).join(core, ["region", "q"]).where(F.col("dq") <= F.col("radius") + theta)
+        open_side = each.where(F.col("dq") > theta + EPS).join(core, ["region", "q"]).where(F.col("dq") <= F.col("radius") + theta + EPS)
         reach = open_side.groupBy("region", "q").agg(F.min("dq").alias("closest"))
-        shell = each.where((F.col("dq") <= theta) & (F.col("dq") > 0)).join(reach, ["region", "q"]).where(F.col("dq") >= F.col("closest") - theta)
+        shell = each.where((F.col("dq") <= theta + EPS) & (F.col("dq") > 0)).join(reach, ["region", "q"]).where(F.col("dq") >= F.col("closest") - theta - EPS)
         nxt = open_side.select("region", "q", "node").unionByName(shell.select("region", "q", "node"))
         nxt = written(nxt.select("region", F.xxhash64("region", "q", F.lit(r)).alias("sub"), "node").distinct(), f"next{r}")
         grown = nxt.groupBy("region", "sub").agg(F.count("*").alias("n")).join(large, "region")
@@ -431,35 +517,52 @@ def _block_links(members: DataFrame, sets: DataFrame, t: float, region: int) ->
     return written(cells.join(sets, "node").groupBy("region", "i", "j").applyInPandas(_region_links(t), "a long, b long"), "blocks")
 
 
+def _ranges(df: DataFrame) -> int:
+    """Number of ranges, from the planner's size of the input; where it has none, from the session's setting."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-size // RANGE_BYTES)) if size < 1 << 60 else least
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: float = THRESHOLD, least: int = LEAST_WORDS, region: int = REGION) -> DataFrame:
-    """(doc_id, class_id, class_size): the classes of two or more documents connected through links."""
-    spark = docs.sparkSession
+    """(doc_id, class_id, class_size, n_links): the classes of two or more documents connected through links.
+
+    n_links: other documents that this one is linked with directly, copies included; null in a region of more than `region` nodes.
+    """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    # one range is joined in one task: their number follows the input, whatever the session's setting is
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * base.rdd.getNumPartitions())
+    ranges = _ranges(base)
     first = written(_first_pass(base, ranges, least), "first")
-    nodes = first.where("kind = 'd'").groupBy(F.col("x").alias("doc_id")).agg(F.min("y").alias("node"))
-    nodes = written(nodes, "nodes")
-    order = Order(_frequent(first, "w", 1, FREQUENT_WORDS), _frequent(first, "s", HOT, FREQUENT_RUNS))
-    met = _replicas(base, order, ranges, least, t).groupBy("x").applyInPandas(_meet(t, region, ranges), _FIRST)
-    met = written(met, "met")
-    pairs = written(met.where("kind = 'p'").groupBy("x").applyInPandas(_often, "a long, b long"), "pairs")
-    links = _linked(pairs, run_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, least), t)
-    crowded = met.where("kind = 'g'").select(F.col("x").alias("region"), "n", "blob")
-    if not crowded.isEmpty():
-
-        def open_blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r, n, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r, np.int64)), pa.array(np.frombuffer(blob, np.int64, n))], names=["region", "node"])
-
-        members = written(crowded.mapInArrow(open_blob, "region long, node long"), "crowded")
-        sets = written(run_sets(base, members.select("node").distinct(), nodes, least), "sets")
-        links = links.unionByName(dense_links(members, sets, t, region))
-    parts = connected_components(written(links, "linked"))
-    joined = nodes.join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
-    classes = joined.groupBy("c").agg(F.count("*").alias("class_size"), F.min("doc_id").alias("class_id")).where("class_size > 1")
-    return joined.join(classes, "c").select("doc_id", "class_id", "class_size")
+    nodes = written(first.where("kind = 'd'").groupBy(F.col("x").alias("doc_id")).agg(F.min("y").alias("node")), "nodes")
+    copies = written(nodes.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")), "copies")
+    order = Order(_frequent(first, "w", 1, FREQUENT_WORDS, ranges), _frequent(first, "s", HOT, FREQUENT_RUNS, ranges))
+    met = written(_replicas(base, order, ranges, least, t).repartition(ranges, "x").groupBy("x").applyInPandas(_meet(t, region, ranges), _FIRST), "met")
+    pairs = met.where("kind = 'p'").repartition(ranges, "x").groupBy("x").applyInPandas(_often, "a long, b long")
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(blob, np.int64, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n - 1, x[0])), pa.array(x[1:])], names=["a", "b"])
+
+    crowded = met.where("kind = 'g'").select("n", "blob").mapInArrow(star, "a long, b long")
+    members = connected_components(written(pairs.unionByName(crowded), "pairs")).withColumnRenamed("component", "region")
+    members = written(members, "members")
+    sizes = written(members.groupBy("region").agg(F.count("*").alias("n")), "sizes")
+    sets = written(run_sets(base, members.select("node"), nodes, least), "sets")
+    small, large = (written(sizes.where(c).select("region"), "regions") for c in (F.col("n") <= region, F.col("n") > region))
+    tasks = max(1, -(-members.count() // TASK_MEMBERS))
+    full = members.join(small_side(small), "region", "left_semi").join(sets, "node").join(copies.select("node", "copies"), "node")
+    task = F.pmod(F.xxhash64("region"), F.lit(tasks))
+    parts = full.withColumn("task", task).repartition(tasks, "task").groupBy("task").applyInPandas(_region_classes(t), "node long, component long, n_links long")
+    if not large.isEmpty():
+        links = dense_links(members.join(small_side(large), "region", "left_semi"), sets, t, region)
+        parts = parts.unionByName(connected_components(written(links, "linked")).withColumn("n_links", F.lit(None).cast("long")))
+    parts = copies.join(small_side(written(parts, "parts")), "node", "left").where("copies > 1 or component is not null")
+    parts = parts.select("node", "copies", "first_doc", F.coalesce("component", "node").alias("c"), F.when(F.col("component").isNull(), F.col("copies") - 1).otherwise(F.col("n_links")).alias("n_links"))
+    parts = written(parts, "classes_of_nodes")
+    classes = parts.groupBy("c").agg(F.sum("copies").alias("class_size"), F.min("first_doc").alias("class_id")).where("class_size > 1")
+    found = written(parts.join(small_side(written(classes, "classes")), "c").select("node", "class_id", "class_size", "n_links"), "found")
+    return nodes.join(small_side(found), "node").select("doc_id", "class_id", "class_size", "n_links")
 
 
 def pairs_of(classes: DataFrame) -> DataFrame:
@@ -469,4 +572,4 @@ def pairs_of(classes: DataFrame) -> DataFrame:
     return a.join(b, "class_id").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
 
 
-__all__ = ["dense_links", "jaccard", "near_duplicates", "pairs_of", "run_sets"]
+__all__ = ["dense_links", "jaccard", "metric_join", "near_duplicates", "pairs_of", "run_sets"]

@@ -193,6 +193,12 @@ def test_local_search_only_improves():
 # ---- 4
 
 
+def links_by_force(docs, t=0.5, least=40):
+    """Other documents that each one is linked with."""
+    sets = {i: frozenset(zip(w, w[1:], w[2:])) for i, x in docs if x and len(w := T.words(x)) >= least}
+    return {a: sum(a != b and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) for b in sets) for a in sets}
+
+
 def groups_by_force(docs, t=0.5, least=40):
     sets = {i: frozenset(zip(w, w[1:], w[2:])) for i, x in docs if x and len(w := T.words(x)) >= least}
     parent = {i: i for i in sets}
@@ -226,13 +232,35 @@ def test_near_duplicates(spark, region):
         docs.append((200 + i, " ".join(w)))
     docs += [(300, docs[3][1] + " tail end"), (301, docs[3][1].upper()), (302, None), (303, ""), (304, "short text"), (None, docs[5][1]), (305, " ".join(["same"] * 60)), (306, " ".join(["same"] * 70))]
     df = spark.createDataFrame(docs + docs[:3], "doc_id long, text string").withColumn("node", F.lit(1))
-    got = defaultdict(set)
+    got, links = defaultdict(set), {}
     for r in neardup.near_duplicates(df, region=region).collect():
         got[r.class_id].add(r.doc_id)
+        links[r.doc_id] = r.n_links
+    want = links_by_force([d for d in docs if d[0] is not None])
+    assert all(n == want[d] or (n is None and region == 8) for d, n in links.items())
     assert {frozenset(g) for g in got.values()} == groups_by_force([d for d in docs if d[0] is not None])
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("family", [3, 40, 400])
+def test_metric_join_is_exact(family):
+    """Pivots, windows and recursion find the pairs of brute force, whatever the families are."""
+    rnd = np.random.default_rng(family)
+    sets = []
+    while len(sets) < 400:
+        base = rnd.integers(0, 10_000, rnd.integers(5, 80))
+        for _ in range(family):
+            x = base.copy()
+            x[rnd.random(len(x)) < rnd.random() * 0.6] = rnd.integers(0, 10_000)
+            sets.append(np.unique(np.concatenate((x, rnd.integers(0, 10_000, rnd.integers(0, 20))))).astype(np.uint64))
+    sets = sets[:400]
+    rnd.shuffle(sets)
+    i, j = neardup.metric_join(sets)
+    got = set(zip(i.tolist(), j.tolist()))
+    want = {(a, b) for a in range(400) for b in range(a + 1, 400) if neardup.jaccard(sets[a].tobytes(), sets[b].tobytes()) >= 0.5}
+    assert got == want and len(i) == len(got) and len(want) > 30
+
+
 def test_near_duplicate_pairs(spark):
     c = spark.createDataFrame([(1, 1, 3), (2, 1, 3), (3, 1, 3)], "doc_id long, class_id long, class_size long")
     assert sorted(map(tuple, neardup.pairs_of(c).collect())) == [(1, 2), (1, 3), (2, 3)]
