@@ -39,7 +39,7 @@ Empty tables give an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,7 +61,7 @@ HOT, LOCAL = 10, 2
 #: Bounds of the two frequency tables (rows); beyond them the least frequent are left out of the order, which stays valid.
 FREQUENT_WORDS, FREQUENT_RUNS = 250_000, 250_000
 #: Bytes of input for each range.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20
 REGION = 1_000
 PIVOTS = 8
 #: Regions of so few members are compared pair by pair.
@@ -159,13 +159,25 @@ def _frequent(first: DataFrame, kind: str, floor: int, most: int, ranges: int) -
         c = np.bincount(inv, np.concatenate(counts)).astype(np.int64)
         return pd.DataFrame({"h": T.signed(u[c >= floor]), "c": c[c >= floor]})
 
-    t = first.where(F.col("kind") == kind).repartition(ranges, "x").groupBy("x").applyInPandas(total, "h long, c long")
+    t = _by_range(first.where(F.col("kind") == kind), ranges, total, "h long, c long")
     t = t.orderBy(F.desc("c"), "h").limit(most).toPandas()
     h = t["h"].to_numpy(np.int64).view(_U)
     order = np.argsort(h)
     return h[order], t["c"].to_numpy(np.int64)[order]
 
 
+def _by_range(df: DataFrame, ranges: int, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """f over the rows of each range; every range is one task of its own, whatever the session's setting is."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p for p in parts if len(p)]
+        if held:
+            for _, g in pd.concat(held).groupby("x"):
+                yield f(g)
+
+    return df.repartitionById(ranges, F.col("x").cast("int")).mapInPandas(run, schema)
+
+
 def _lookup(keys: np.ndarray, counts: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(x), np.int64)
@@ -535,8 +547,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = written(first.where("kind = 'd'").groupBy(F.col("x").alias("doc_id")).agg(F.min("y").alias("node")), "nodes")
     copies = written(nodes.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")), "copies")
     order = Order(_frequent(first, "w", 1, FREQUENT_WORDS, ranges), _frequent(first, "s", HOT, FREQUENT_RUNS, ranges))
-    met = written(_replicas(base, order, ranges, least, t).repartition(ranges, "x").groupBy("x").applyInPandas(_meet(t, region, ranges), _FIRST), "met")
-    pairs = met.where("kind = 'p'").repartition(ranges, "x").groupBy("x").applyInPandas(_often, "a long, b long")
+    met = written(_by_range(_replicas(base, order, ranges, least, t), ranges, _meet(t, region, ranges), _FIRST), "met")
+    pairs = _by_range(met.where("kind = 'p'"), ranges, _often, "a long, b long")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -553,7 +565,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tasks = max(1, -(-members.count() // TASK_MEMBERS))
     full = members.join(small_side(small), "region", "left_semi").join(sets, "node").join(copies.select("node", "copies"), "node")
     task = F.pmod(F.xxhash64("region"), F.lit(tasks))
-    parts = full.withColumn("task", task).repartition(tasks, "task").groupBy("task").applyInPandas(_region_classes(t), "node long, component long, n_links long")
+    parts = _by_range(full.withColumn("x", task), tasks, _region_classes(t), "node long, component long, n_links long")
     if not large.isEmpty():
         links = dense_links(members.join(small_side(large), "region", "left_semi"), sets, t, region)
         parts = parts.unionByName(connected_components(written(links, "linked")).withColumn("n_links", F.lit(None).cast("long")))

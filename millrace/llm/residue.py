@@ -11,19 +11,22 @@ are set aside).  Only `dummy` and `notice` are propagated: they are properties
 of a whole body, so a near-copy has them too, while a copy of a text with a slot
 may well be the filled one.
 
-Fingerprints of 64 bits are cut into BLOCKS blocks; each table keys a document
-by all but DISTANCE of them, so two fingerprints that differ in at most DISTANCE
-bits share a key (pigeonhole).  Texts of similarity SIMILARITY differ in some ten
-bits, so the tables hold only the closest of them; a prefix join finds the rest.
-Two sets whose similarity reaches SIMILARITY share one of the first
-n - SIMILARITY * n + 1 runs of either, in any order of runs common to all: no
-near-duplicate of a labelled text is missed.  Runs that a sample shows often come
-last in that order, which keeps the buckets small.  Documents with
-the same words in the same order, numbers masked, collapse to one node first:
-their similarity is 1, so what holds for one of them holds for all.  A node's
-label goes to its members without one as hop 1.  Labels spread from labelled to
-unlabelled nodes only, hop by hop, until a hop finds nothing new: no bucket is expanded
-into all its pairs, and what is moved is bounded by the labelled nodes' buckets.
+What is compared is the body: tags, lines of links and standing additions of error
+pages ("retry after 57 s") are set aside, numbers are masked.  Fingerprints of 64
+bits are taken over the words of the body and cut into BLOCKS blocks; each table keys
+a document by KEPT of them.  Fingerprints that differ in at most BLOCKS - KEPT bits
+share a key (pigeonhole), those up to DISTANCE bits mostly do; candidates are verified
+by Hamming distance and then by the similarity of their texts.  A pair of similarity
+SIMILARITY differs in four to five bits of a fingerprint over words, so the tables
+hold nearly all of them (a test measures it); an exact prefix join of the labelled
+texts supplies what they miss: two sets whose similarity reaches SIMILARITY share one
+of the first n - SIMILARITY * n + 1 runs of either, in any order of runs common to
+all.  Runs that a sample shows often come last in that order, which keeps the buckets
+small.  Documents with the same body, word for word, collapse to one node first: what
+holds for one of them holds for all.  A node's label goes to its members without one as
+hop 1.  Labels spread from labelled to unlabelled nodes only, hop by hop, until a hop
+finds nothing new: the labelled parts of the connected components are covered without
+expanding a bucket into all its pairs, and hot keys are spread over tasks.
 
 Nulls: null and blank texts are no cases; rows with a null id give no row.
 Repeated rows count once.  Empty tables give an empty result.  Extra columns are
@@ -42,12 +45,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens as T
-from millrace.session import small_side, written
+from millrace.operators.joins import spread_join
+from millrace.session import is_small, small_side, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-DISTANCE = 3
-BLOCKS = 6
+DISTANCE = 8
+BLOCKS, KEPT = 8, 3
 #: A text of fewer words is compared by words; only texts of so few distinct words can be similar to one.
 SHORT_WORDS = int((2 * SHINGLE - 1) / SIMILARITY)
 #: Texts from which the order of runs is taken, and how many of them make a run a frequent one.
@@ -128,7 +132,7 @@ _DUMMY_SENTENCE = re.compile(
     re.I,
 )
 
-_THING = r"(?:page|site|document|item|link|entry|listing|address|file|resource|requested|request|archive|view|content|article|image|video|server|url|record|section|feed|service|app|application|account)"
+_THING = r"(?:page|site|document|item|link|entry|listing|address|file|resource|requested|request|archive|view|content|article|image|video|server|url|record|section|feed|service|app|application|account|portal|profile|domain|channel|access|session|license|subscription|store|forum|board)"
 NOTICE = re.compile(
     rf"""
       \b(?:java\s?script|js|scripts?|scripting|script\ (?:support|execution)|cookies?)\b
@@ -145,6 +149,12 @@ NOTICE = re.compile(
     | \b(?:seite|inhalt|datei|eintrag|dokument)\b[^.\n]{{0,30}}\b(?:nicht\ (?:gefunden|verfügbar|erreichbar)|existiert\ nicht|gesperrt)\b | \bfehler\ (?:beim|ist|\d) | \bzugriff\ verweigert\b | \bbitte\ (?:aktivieren|versuchen)\b | \bein\ fehler\b
     | \bpage\ (?:introuvable|non\ trouvée)\b | \bune\ erreur\b | \bveuillez\ (?:activer|réessayer|patienter)\b | \baccès\ (?:refusé|interdit)\b | \bcontenu\ (?:indisponible|introuvable)\b | \bservice\ indisponible\b
     | \bpágina\ no\ (?:encontrada|disponible)\b | \b(?:ha\ ocurrido|se\ produjo)\ un\ error\b | \bacceso\ (?:denegado|restringido|prohibido)\b | \b(?:active|habilite|activa)\ javascript\b | \bservicio\ no\ disponible\b | \binténtelo\ (?:de\ nuevo|más\ tarde)\b
+    | \b(?:sitzung|anmeldung|zugang|konto|portal|dienst|website|webseite)\b[^.\n]{{0,40}}\b(?:abgelaufen|gesperrt|deaktiviert|nicht\ (?:verfügbar|erreichbar|möglich))\b | \bbitte\ melden\ sie\ sich\b | \bwartungsarbeiten\b
+    | \b(?:session|compte|accès|site|page)\b[^.\n]{{0,40}}\b(?:expirée?|suspendue?|bloquée?|désactivée?)\b | \bmaintenance\ en\ cours\b | \bconnectez-vous\b
+    | \b(?:sesión|cuenta|acceso|sitio|página|servicio)\b[^.\n]{{0,40}}\b(?:caducad[oa]|expirad[oa]|suspendid[oa]|bloquead[oa]|desactivad[oa])\b | \binicie\ sesión\b | \ben\ mantenimiento\b
+    | \bpagina\ non\ (?:trovata|disponibile|esiste)\b | \bsi\ è\ verificato\ un\ errore\b | \baccesso\ (?:negato|vietato|sospeso)\b | \b(?:abilitare|abilita|attivare|attiva)\ (?:javascript|i\ cookie)\b | \b(?:sessione|account)\b[^.\n]{{0,30}}\bscadut[oa]\b | \bservizio\ non\ disponibile\b | \briprova(?:re)?\ più\ tardi\b
+    | \bpágina\ não\ (?:encontrada|disponível|existe)\b | \bocorreu\ um\ erro\b | \bacesso\ (?:negado|restrito|suspenso)\b | \b(?:ative|habilite)\ (?:o\ )?javascript\b | \bsessão\b[^.\n]{{0,30}}\bexpirou\b | \bserviço\ indisponível\b | \btente\ novamente\b
+    | \bpagina\ niet\ gevonden\b | \btoegang\ geweigerd\b | \ber\ is\ een\ fout\ opgetreden\b | \bsessie\ is\ verlopen\b
     | 服务器(?:错误|繁忙|无响应) | 页面(?:不存在|未找到|无法|已) | 请(?:启用|开启|打开|稍后再试|刷新|登录) | 访问(?:被拒绝|受限|过于频繁) | (?:无法|不能)(?:访问|加载|显示) | 找不到(?:页面|网页|该页) | 网络(?:错误|超时) | 浏览器 | 验证码 | 加载失败
     """,
     re.X | re.I | re.M,
@@ -156,6 +166,8 @@ _NOTICE_SIGNS = (
     "private", "couldn", "went wrong", "timed out", "time out", "connection", "dns lookup", "returned nothing", "if nothing happens", "your browser", "verify ", "captcha", "human", "robot", "ticking the box", "backend", "fatal:", "exhausted",
     "see log", "switch it on", "reload", "refresh", "traceback", "exception", 'file "', "reason=", "in to ", "rate limit", "nicht ", "existiert", "gesperrt", "fehler", "verweigert", "bitte ", "introuvable", "non trouvée", "erreur", "veuillez",
     "accès", "indisponible", "página no", "acceso", "servicio no", "inténtelo", "服务器", "页面", "请", "访问", "无法", "不能", "找不到", "网络", "浏览器", "验证码", "加载失败",
+    "abgelaufen", "deaktiviert", "wartungsarbeiten", "expiré", "suspend", "bloqué", "désactivé", "connectez-vous", "caducad", "expirad", "bloquead", "desactivad", "inicie sesión", "mantenimiento",
+    "pagina non ", "errore", "accesso ", "abilita", "attiva", "scadut", "servizio non", "riprova", "página não", "ocorreu um", "acesso ", "ative ", "habilite", "sessão", "serviço ind", "tente novamente", "niet gevonden", "geweigerd", "fout opgetreden", "verlopen",
 )
 _ADDITION_SIGNS = ("retry after", "try again", "reference", "nginx", "apache", "openresty", "cloudflare", "varnish", "the address", "ray ", "if this persists", "return to the", "go back", "request id", "please wait")
 #: Words that may be the topic of a text; in a long body such a sentence is a notice only if it also asks or tells for something.
@@ -185,12 +197,20 @@ def _without_links(text: str) -> str:
     return "\n".join(x for x in text.split("\n") if not (len(x) < 300 and _NAV_LINE.fullmatch(x) and not NOTICE.search(x) and not _DUMMY_SENTENCE.search(x)))
 
 
-def has_residue_body(text: str) -> str | None:
+def body_of(text: str, low: str | None = None) -> tuple[str, str, str]:
+    """(text without tags, without lists of links, and without standing additions too)."""
+    flat = _ANY_TAG.sub("\n", text) if "<" in text else text
+    body = _without_links(flat).strip()
+    low = text.lower() if low is None else low
+    core = ADDITION.sub(" ", body).strip() if any(x in low for x in _ADDITION_SIGNS) else body
+    return flat, body, core
+
+
+def has_residue_body(text: str, parts: tuple[str, str, str] | None = None) -> str | None:
     """`dummy` or `notice` if that is what the body consists of."""
     low = text.lower()
     filler = sum(s in low for s in _FILLER_SIGNS)
-    flat = _ANY_TAG.sub("\n", text) if "<" in text else text
-    body = _without_links(flat).strip()
+    flat, body, core = parts or body_of(text, low)
     words = _WORD_RUN.findall(body.lower())
     if len(words) >= 3:
         latin = sum(w in LATIN for w in words) / len(words)
@@ -206,8 +226,8 @@ def has_residue_body(text: str) -> str | None:
     flat_body = body
     stacks = sum(len(m.group()) for m in _STACK.finditer(body))
     if stacks:
-        body = _STACK.sub("\n", body)
-    body = ADDITION.sub(" ", body).strip()
+        core = ADDITION.sub(" ", _STACK.sub("\n", body)).strip()
+    body = core
     if not re.search(r"\w", body):
         # nothing but stacks, links, titles and additions: a notice only if there is a stack or an addition
         return "notice" if stacks or ADDITION.search(flat) else None
@@ -254,9 +274,15 @@ _REPORTS = re.compile(r"\b(?:logged error|had to enable|raised the limit|call te
 
 
 def label_of(text: str | None) -> str | None:
+    return judged(text)[0]
+
+
+def judged(text: str | None) -> tuple[str | None, str]:
+    """(trusted label, what stands for the text in comparisons: its body, or all of it if nothing else is left)."""
     if text is None or not text.strip():
-        return None
-    return has_residue_body(text) or ("slot" if has_slot(text) else None)
+        return None, ""
+    parts = body_of(text)
+    return has_residue_body(text, parts) or ("slot" if has_slot(text) else None), parts[2] or text
 
 
 # ---- fingerprints -------------------------------------------------------------------------------------------------
@@ -271,30 +297,25 @@ def masked(text: str) -> str:
 
 
 def simhash(h: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of texts given by their word hashes: over runs of five words, over words where there are fewer."""
-    s, so = T.shingle_hashes(h, o, SHINGLE)
-    short = np.flatnonzero((np.diff(so) == 0) & (np.diff(o) > 0))
-    if len(short):
-        parts = [s[so[i] : so[i + 1]] if so[i + 1] > so[i] else h[o[i] : o[i + 1]] for i in range(len(o) - 1)]
-        so = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-        s = np.concatenate(parts)
+    """64-bit SimHash of texts given by their word hashes, each occurrence of a word counting once."""
     out = np.zeros(len(o) - 1, np.uint64)
-    have = np.flatnonzero(np.diff(so))
+    have = np.flatnonzero(np.diff(o))
     if not len(have):
         return out
-    n = np.diff(so)[have]
-    starts = so[:-1][have]
+    n = np.diff(o)[have]
+    starts = o[:-1][have]
+    f = T.mix64(h)
     for bit in range(64):
-        on = np.add.reduceat(((s >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), starts)
+        on = np.add.reduceat(((f >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), starts)
         out[have] |= (2 * on > n).astype(np.uint64) << np.uint64(bit)
     return out
 
 
-def tables_of(fp: Column, blocks: int = BLOCKS, distance: int = DISTANCE) -> Column:
-    """The keys of a fingerprint: for every choice of blocks - distance blocks, their bits and the table's number."""
+def tables_of(fp: Column, blocks: int = BLOCKS, kept: int = KEPT) -> Column:
+    """The keys of a fingerprint: for every choice of `kept` blocks, their bits and the table's number."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     keys = []
-    for n, keep in enumerate(combinations(range(blocks), blocks - distance)):
+    for n, keep in enumerate(combinations(range(blocks), kept)):
         mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in keep)
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
         keys.append(F.struct(F.lit(n).alias("t"), fp.bitwiseAND(F.lit(signed)).alias("k")))
@@ -322,7 +343,7 @@ def frequent_runs(docs: DataFrame, text: str = "text", sample: int = SAMPLE) ->
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, o = T.word_hashes([masked(t) for t in b.column(0).to_pylist()])
+            h, o = T.word_hashes([masked(body_of(t)[2]) for t in b.column(0).to_pylist()])
             s, _ = T.distinct_by_text(*T.shingle_hashes(h, o, SHINGLE))
             yield pa.RecordBatch.from_arrays([pa.array(T.signed(s))], names=["s"])
 
@@ -335,14 +356,14 @@ _MARKED = "doc_id long, label string, fp long, node long, part boolean, n_runs i
 
 
 def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, trusted label, fingerprint, node = hash of the words in their order, numbers masked, part: has words, sizes and prefixes of its runs and, if few, words)."""
+    """(doc_id, trusted label, fingerprint, node = hash of the body's words in their order, numbers masked, part: has words, sizes and prefixes of its runs and, if few, words)."""
     frequent = frequent_runs(docs, text)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            labels = [label_of(t) for t in texts]
-            h, o = T.word_hashes([masked(t) for t in texts])
+            labels, bodies = zip(*map(judged, texts)) if texts else ((), ())
+            h, o = T.word_hashes([masked(t) for t in bodies])
             s, so = T.shingle_hashes(h, o, SHINGLE)
             n_runs, runs = prefixes(ordered(s, frequent), so, np.diff(o) >= 2 * SHINGLE)
             w, wo = T.distinct_by_text(h, o)
@@ -362,8 +383,8 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def similar(a: str, b: str) -> bool:
-    """Jaccard similarity of the runs of five words (words in short texts), digits masked."""
-    x, y = (T.words(masked(t)) for t in (a, b))
+    """Jaccard similarity of the bodies' runs of five words (words in short texts), digits masked."""
+    x, y = (T.words(masked(body_of(t)[2] or t)) for t in (a, b))
     k = SHINGLE if min(len(x), len(y)) >= 2 * SHINGLE else 1
     p, q = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (x, y))
     return bool(p or q) and len(p & q) >= SIMILARITY * len(p | q)
@@ -371,7 +392,11 @@ def similar(a: str, b: str) -> bool:
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: int | None = None) -> DataFrame:
     """(doc_id, label, hop): the documents that are residue; hop 0 is a trusted label, n a label that came over n links.  With hops, links beyond so many are not followed."""
-    m = written(marked(docs, doc_id, text), "marked")
+    return spread(written(marked(docs, doc_id, text), "marked"), docs, doc_id, text, hops)
+
+
+def spread(m: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: int | None = None) -> DataFrame:
+    """The same from a table of marked(): trusted labels reach all near-copies of their documents, and the near-copies of these."""
     sure = m.where("label is not null").select("doc_id", "label", F.lit(0).alias("hop"))
     nodes = written(
         m.where("part").groupBy("node").agg(F.max(F.when(F.col("label") != "slot", F.col("label"))).alias("label"), F.min_by(F.struct("doc_id", "fp", "n_runs", "runs", "n_words", "few"), "doc_id").alias("x"))
@@ -379,7 +404,6 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: i
         "nodes",
     )
     open_nodes = nodes.where("label is null")
-    keyed = written(open_nodes.select("node", "doc_id", "fp", F.explode(tables_of(F.col("fp"))).alias("key")), "tables")
     front = nodes.where("label is not null")
     found = written(front.select("node", "label", F.lit(1).alias("hop")), "found")
     hop = 0
@@ -387,8 +411,7 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: i
         hop += 1
         if hop > MOST_HOPS:
             raise RuntimeError(f"labels still spread after {MOST_HOPS} hops")
-        seeds = front.select(F.col("fp").alias("fp_s"), F.col("doc_id").alias("doc_s"), "label", F.explode(tables_of(F.col("fp"))).alias("key"))
-        close = keyed.join(seeds, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_s"))) <= DISTANCE).select("node", "doc_id", "fp", "doc_s", "label")
+        close = hamming_pairs(open_nodes, front)
         near = close.unionByName(_meeting(open_nodes, front)).groupBy("node", "doc_id", "fp", "doc_s").agg(F.min("label").alias("label"))
         near = written(near.join(small_side(found.select("node")), "node", "left_anti"), f"near{hop}")
         if near.isEmpty():
@@ -403,6 +426,14 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hops: i
     return sure.groupBy("doc_id").agg(F.min_by("label", F.struct("hop", "label")).alias("label"), F.min("hop").alias("hop"))
 
 
+def hamming_pairs(nodes: DataFrame, front: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(node, doc_id, fp, doc_s, label): nodes and labelled nodes that share a key of a table and differ in at most `distance` bits."""
+    seeds = written(front.select(F.col("fp").alias("fp_s"), F.col("doc_id").alias("doc_s"), "label", F.explode(tables_of(F.col("fp"))).alias("k")).select("fp_s", "doc_s", "label", "k.*"), "tables")
+    keyed = nodes.select("node", "doc_id", "fp", F.explode(tables_of(F.col("fp"))).alias("key")).select("node", "doc_id", "fp", F.col("key.t").alias("t"), F.col("key.k").alias("k"))
+    met = keyed.join(F.broadcast(seeds), ["t", "k"]) if is_small(seeds) else spread_join(seeds, keyed, ["t", "k"])
+    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_s"))) <= distance).select("node", "doc_id", "fp", "doc_s", "label")
+
+
 def _meeting(nodes: DataFrame, front: DataFrame) -> DataFrame:
     """(node, doc_id, fp, doc_s, label): every node and labelled node whose prefixes meet and whose sizes allow for similarity SIMILARITY."""
 
@@ -411,7 +442,8 @@ def _meeting(nodes: DataFrame, front: DataFrame) -> DataFrame:
         return runs.unionByName(df.select(*cols, F.lit(False).alias("run"), F.col("n_words").alias("n"), F.explode("few").alias("key")))
 
     seeds = written(keys(front, F.col("doc_id").alias("doc_s"), F.col("label")).withColumnRenamed("n", "n_s"), "prefixes")
-    met = keys(nodes, F.col("node"), F.col("doc_id"), F.col("fp")).join(small_side(seeds), ["run", "key"])
+    mine = keys(nodes, F.col("node"), F.col("doc_id"), F.col("fp"))
+    met = mine.join(F.broadcast(seeds), ["run", "key"]) if is_small(seeds) else spread_join(seeds, mine, ["run", "key"])
     least = SIMILARITY - 1e-9
     return met.where((F.col("n") >= least * F.col("n_s")) & (F.col("n_s") >= least * F.col("n"))).select("node", "doc_id", "fp", "doc_s", "label")
 

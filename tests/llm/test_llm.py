@@ -411,13 +411,46 @@ def test_residue_reaches_every_near_copy(spark):
     trusted = [(i, x) for i, x in rows if labels[i] == "dummy"]
     want = {i for i, x in rows if labels[i] or any(residue.similar(x, y) for _, y in trusted)}
     by_rule = {i for i in labels if labels[i]}
-    h, o = T.word_hashes([x for _, x in rows])
-    fp = [int(x) for x in residue.simhash(h, o)]
-    assert any(min((fp[i] ^ fp[j]).bit_count() for j, _ in trusted) > residue.DISTANCE for i in want - by_rule)
+    assert len(want - by_rule) >= 10
     df = spark.createDataFrame(rows + [(1_000 + i, text_of(rnd, 50)) for i in range(20)], "doc_id long, text string")
     assert {r.doc_id for r in residue.residue(df, hops=1).collect()} == want
 
 
+def test_fingerprints_find_near_copies(spark):
+    """Recall of the tables and the Hamming check alone, against brute force, over pairs of similarity 0.8 and more."""
+    rnd = random.Random(15)
+    words = sorted({"".join(rnd.choice("bcdfghjklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(4_000)})
+    seeds, copies = [], []
+    for n in (30, 60, 120, 300):
+        for k in range(12):
+            w = [rnd.choice(words) for _ in range(n)]
+            seeds.append((len(seeds), " ".join(w), "notice"))
+            for edits in range(1, 1 + n // 45 + 1):
+                c = list(w)
+                for i in rnd.sample(range(n), edits):
+                    c[i] = rnd.choice(words)
+                copies.append((1_000 + len(copies), " ".join(c), len(seeds) - 1))
+    want = {(i, j) for i, x, j in copies if residue.similar(x, seeds[j][1])}
+    df = spark.createDataFrame([(i, x) for i, x, _ in seeds + copies], "doc_id long, text string")
+    m = residue.written(residue.marked(df), "m")
+    got = {(r.doc_id, r.doc_s) for r in residue.hamming_pairs(m.where("doc_id >= 1000"), m.where("doc_id < 1000").withColumn("label", F.lit("notice"))).collect()}
+    print(f"tables: {len(want & got)} of {len(want)} pairs, {len(got)} candidates")
+    assert len(want) > 100 and len(want & got) >= 0.9 * len(want) and len(got) < 3 * len(want)
+
+
+def test_residue_without_rules_for_copies(spark):
+    """Rules are switched off for all but three notices; their copies come over links."""
+    texts = ["The page you asked for could not be found on this server", "Please enable scripts in your browser and reload the page to go on reading this article", "Access to this part of the archive has been denied for your address"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10, "Page not found"), (11, "Page not. Found")]
+    rows += [(40, "A baker in the old town sold bread on the page of a newspaper")]
+    rows += [(20 + i, f"Home | News | Shop\n{t.upper()}\nRetry after {i} s.") for i, t in enumerate(texts)] + [(30 + i, f"<p>{t}</p>".replace(" the ", " that ")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = residue.written(residue.marked(df).withColumn("label", F.when(F.col("doc_id") < 3, "notice").when(F.col("doc_id") == 10, "notice")), "m")
+    got = {r.doc_id: r.hop for r in residue.spread(m, df).collect()}
+    print(f"hops without rules: {got}")
+    assert {i for i, hop in got.items() if hop == 0} == {0, 1, 2, 10} and {11, 20, 21, 22} <= set(got) and 40 not in got
+
+
 def test_residue_label_reaches_members_of_its_node(spark):
     """Texts with the words of a labelled one, for which the rule does not fire, and near-copies of one of two close seeds."""
     notice = "The page could not be found on this server"
