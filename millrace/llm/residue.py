@@ -213,8 +213,8 @@ def has_residue_body(text: str, parts: tuple[str, str, str] | None = None) -> st
     flat, body, core = parts or body_of(text, low)
     words = _WORD_RUN.findall(body.lower())
     if len(words) >= 3:
-        latin = sum(w in LATIN for w in words) / len(words)
-        mash = sum(w in MASH for w in words) / len(words)
+        latin = sum(map(LATIN.__contains__, words)) / len(words)
+        mash = sum(map(MASH.__contains__, words)) / len(words)
         if latin >= 0.7 or mash >= 0.7:
             return "dummy"
     if filler and _DUMMY_SENTENCE.search(body):
@@ -245,20 +245,46 @@ def has_residue_body(text: str, parts: tuple[str, str, str] | None = None) -> st
     return "notice" if n else None
 
 
+try:
+    import ahocorasick
+
+    _SIGNS = ahocorasick.Automaton()
+    for _x in _NOTICE_SIGNS:
+        _SIGNS.add_word(_x, len(_x))
+    _SIGNS.make_automaton()
+except ImportError:
+    _SIGNS = None
+_FIND_SIGNS = None if _SIGNS else re.compile("|".join(f"(?={re.escape(x)})" for x in _NOTICE_SIGNS))
+
+
+def _sign_places(low: str) -> list[int]:
+    """Where signs of a notice stand: the place of a character of each."""
+    return [e for e, _ in _SIGNS.iter(low)] if _SIGNS else [m.start() for m in _FIND_SIGNS.finditer(low)]
+
+
 def _is_no_notice(body: str, low: str) -> bool:
     """Whether the sentences without any sign of a notice already make up too much of the body; an addition may join sentences, so with one the body is read."""
     if any(x in low for x in _ADDITION_SIGNS) and ADDITION.search(body):
         return False
-    signs = [x for x in _NOTICE_SIGNS if x in low]
-    n = hit = 0
-    stack = "traceback" in signs or " at " in low and "(" in low and _STACK.search(body) is not None
-    for s in _SENTENCE.split(body.lower()):
-        if any(x in s for x in signs):
-            hit += len(s)
-            n += len(s)
-        elif re.search(r"\w", s):
-            n += len(s)
-    return not stack and hit < (NOTICE_SHARE - 0.01) * n
+    lower = body.lower()
+    if ("traceback" in low or " at " in low and "(" in low) and _STACK.search(body) is not None:
+        return False
+    places = _sign_places(lower)
+    if not places:
+        return re.search(r"\w", lower) is not None
+    n = hit = at = k = 0
+    places.sort()
+    for m in (*_SENTENCE.finditer(lower), None):
+        end = m.start() if m else len(lower)
+        while k < len(places) and places[k] < at:
+            k += 1
+        if k < len(places) and places[k] < end:
+            hit += end - at
+            n += end - at
+        elif re.search(r"\w", lower[at:end]):
+            n += end - at
+        at = m.end() if m else end
+    return hit < (NOTICE_SHARE - 0.01) * n
 
 
 def _is_notice_sentence(s: str, long: bool) -> bool:
