@@ -96,7 +96,7 @@ def _dsql(expr: str, frm: str = "x") -> str:
 
 
 def tok(name: str, make, sql: str) -> None:
-    book.add(f"tok_{name}", lambda spark, sf: tokens(spark, sf).select("seq_id", *_digest(make().cast("array<double>"))), f"{TOK}, {sql}")
+    book.add(f"tok_{name}", lambda spark, sf: tokens(spark, sf).select("seq_id", make().cast("array<double>").alias("z")).select("seq_id", *_digest(F.col("z"))), f"{TOK}, {sql}")
 
 
 #: Window forms of the recursions on exploded tokens.
@@ -119,7 +119,7 @@ def fold(name: str, make, init: str, step: str, pick: str, arrays: str) -> None:
     """A backward recursion in SQL: list_reduce over reversed structs, the state keeps the running total of what comes out."""
     book.add(
         f"tok_{name}",
-        lambda spark, sf: tokens(spark, sf).select("seq_id", F.round(F.aggregate(make(), F.lit(0.0), lambda a, x: a + x), 4).alias("total"), r9(F.element_at(make(), 1)).alias("first")),
+        lambda spark, sf: tokens(spark, sf).select("seq_id", make().alias("z")).select("seq_id", F.round(F.aggregate("z", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), r9(F.element_at("z", 1)).alias("first")),
         f"""{TOK}, z AS (SELECT seq_id, list_prepend({init}, list_reverse({arrays})) AS q FROM s),
         y AS (SELECT seq_id, list_reduce(q, lambda s, x: {step}) AS st FROM z) SELECT seq_id, round(st.tot, 4) AS total, round(st.{pick}, 9) + 0.0 AS first FROM y""",
     )

@@ -39,7 +39,7 @@ add("batch_record_map", lambda s, f: read(s, f, "rl_records").select("uid", F.co
 add("batch_unpivot", lambda s, f: orders(s, f).unpivot("o_orderkey", ["o_orderstatus", "o_orderpriority"], "field", "value"), "SELECT o_orderkey, 'o_orderstatus' AS field, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders")
 add("batch_first_three_quarters", lambda s, f: (lambda d, n: d.select("o_orderkey", F.when(F.col("pos") < int(n * 0.75), "train").otherwise("test").alias("split")))(numbered(s, f), orders(s, f).count()), f"{OP} SELECT o_orderkey, CASE WHEN pos < CAST(floor(n * 0.75) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM o, n")
 add("batch_union_slices", lambda s, f: B.concat([read(s, f, "documents").where(F.col("lang") == x).select("doc_id", F.lit(f"corpus_{x}").alias("data_source")) for x in ("en", "zh")]), "SELECT doc_id, 'corpus_' || lang AS data_source FROM documents WHERE lang IN ('en', 'zh')")
-add("batch_date_range_text", lambda s, f: read(s, f, "rollouts").select("rollout_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created")).where("created >= '2024-08-00T00:00:00' and created < '2025-01-00T00:00:00'"), "SELECT * FROM (SELECT rollout_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created FROM rollouts) WHERE created >= '2024-08-00T00:00:00' AND created < '2025-01-00T00:00:00'")
+add("batch_date_range_text", lambda s, f: read(s, f, "rollouts").select("rollout_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created")).where("created >= '2025-06-01T00:00:00' and created < '2025-07-01T00:00:00'"), "SELECT * FROM (SELECT rollout_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created FROM rollouts) WHERE created >= '2025-06-01T00:00:00' AND created < '2025-07-01T00:00:00'")
 add("batch_column_aliases", lambda s, f: read(s, f, "rollouts").select("rollout_id", F.coalesce("pred", F.when(F.col("score") > 0.5, "unknown"), F.lit("none")).alias("answer")), "SELECT rollout_id, coalesce(pred, CASE WHEN score > 0.5 THEN 'unknown' END, 'none') AS answer FROM rollouts")
 add("batch_message_segments", lambda s, f: read(s, f, "documents").where("text is not null").select("doc_id", F.filter(F.split("text", "<image>"), lambda x: x != "").alias("seg"), F.regexp_count("text", F.lit("<image>")).cast("long").alias("images")).select("doc_id", "images", F.size("seg").cast("long").alias("texts"), F.try_element_at("seg", F.lit(1)).alias("first_text")),
     "SELECT doc_id, len(regexp_extract_all(text, '<image>')) AS images, len(list_filter(string_split(text, '<image>'), lambda x: x <> '')) AS texts, list_filter(string_split(text, '<image>'), lambda x: x <> '')[1] AS first_text FROM documents WHERE text IS NOT NULL")
@@ -86,7 +86,10 @@ add("part_batches", lambda s, f: numbered(s, f).select("o_orderkey", B.batches(F
 add("part_batches_full", lambda s, f: (lambda n: numbered(s, f).where(F.col("pos") < n - n % 32).select("o_orderkey", B.batches(F.col("pos"), 32).alias("batch")))(orders(s, f).count()), f"{OP} SELECT o_orderkey, CAST(pos // 32 AS INT) AS batch FROM o, n WHERE pos < n - n % 32")
 add("part_epochs", lambda s, f: B.repeat(numbered(s, f), 2, False, size=orders(s, f).count()).select("copy", "o_orderkey", B.batches(F.col("pos"), 100).alias("batch")), f"{OP} SELECT c AS copy, o_orderkey, CAST(pos // 100 AS INT) AS batch FROM o, (SELECT unnest([0, 1]) AS c)")
 add("part_micro_batches", lambda s, f: read(s, f, "sequences").select("seq_id", F.size("input_ids").alias("n")).distinct().agg(F.least(F.count("*"), F.ceil(F.sum("n") / 4096)).alias("micro_batches")), "SELECT CAST(least(count(*), ceil(sum(n) / 4096)) AS BIGINT) AS micro_batches FROM (SELECT DISTINCT seq_id, len(input_ids) AS n FROM sequences)")
-add("part_tool_routes", lambda s, f: read(s, f, "tool_outputs").groupBy("tool_name").agg(F.count("*").alias("n"), F.min("output_id").alias("first_id")), "SELECT tool_name, count(*) AS n, min(output_id) AS first_id FROM tool_outputs GROUP BY tool_name")
+add("part_tool_routes", lambda s, f: B.routed(read(s, f, "tool_outputs").select("output_id", "tool_name", "status", "result"), "tool_name", "output_id",
+    {"sql": lambda d: d.select("output_id", F.lit("rows").alias("kind"), F.length("result").alias("size")), "python_code": lambda d: d.select("output_id", F.upper("status").alias("kind"), F.lit(0).alias("size"))},
+    lambda d: d.select("output_id", F.lit("other").alias("kind"), F.lit(None).cast("int").alias("size"))),
+    "SELECT output_id, CASE tool_name WHEN 'sql' THEN 'rows' WHEN 'python_code' THEN upper(status) ELSE 'other' END AS kind, CAST(CASE tool_name WHEN 'sql' THEN length(result) WHEN 'python_code' THEN 0 END AS INT) AS size FROM tool_outputs")
 # ---- joins
 add("join_side_by_side", lambda s, f: B.side_by_side(orders(s, f).select("o_orderkey", "o_custkey", "o_totalprice"), orders(s, f).select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey"), "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
 add("join_merge_maps", lambda s, f: orders(s, f).select("o_orderkey", B.merge_maps(F.create_map(F.lit("a"), F.col("o_orderstatus")), F.create_map(F.lit("b"), F.col("o_orderpriority"))).alias("m")).select("o_orderkey", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b")), "SELECT o_orderkey, o_orderstatus AS a, o_orderpriority AS b FROM orders")
@@ -94,8 +97,6 @@ add("join_kept_semi", lambda s, f: read(s, f, "rollouts").where("uid is not null
 add("join_resume_anti", lambda s, f: read(s, f, "rl_records").select("uid").distinct().join(read(s, f, "rollouts").select("uid"), "uid", "left_anti"), "SELECT DISTINCT uid FROM rl_records WHERE uid NOT IN (SELECT uid FROM rollouts WHERE uid IS NOT NULL)")
 add("join_records", lambda s, f: read(s, f, "rollouts").where("uid is not null").select("rollout_id", "uid", "pred").join(read(s, f, "rl_records").groupBy("uid").agg(F.max("reward_model.ground_truth").alias("truth")), "uid").select("rollout_id", F.coalesce(F.col("pred") == F.col("truth"), F.lit(False)).alias("correct")),
     "SELECT rollout_id, coalesce(pred = truth, false) AS correct FROM rollouts r JOIN (SELECT uid, max(reward_model.ground_truth) AS truth FROM rl_records GROUP BY uid) t ON r.uid = t.uid")
-add("join_scorer_dispatch", lambda s, f: read(s, f, "rollouts").select("rollout_id", F.when(F.col("data_source").isin("arith_word", "algebra_gen"), F.coalesce(F.col("responses").contains("####").cast("double"), F.lit(0.0))).when(F.col("data_source") == "code_math", F.coalesce(F.col("responses").contains("```").cast("double"), F.lit(0.0))).otherwise(-1.0).alias("score")),
-    "SELECT rollout_id, CASE WHEN data_source IN ('arith_word', 'algebra_gen') THEN coalesce(CAST(contains(responses, '####') AS DOUBLE), 0.0) WHEN data_source = 'code_math' THEN coalesce(CAST(contains(responses, '```') AS DOUBLE), 0.0) ELSE -1.0 END AS score FROM rollouts")
 add("join_dense_topk", lambda s, f: (lambda e: retrieval.dense_topk(e.where("vec_id % 50 = 0"), e, 5).select("query_id", "rank", "key", F.round("score", 7).alias("score")))(read(s, f, "embeddings")),
     """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e),
     s AS (SELECT q.vec_id AS query_id, d.vec_id AS key, list_dot_product(q.v, d.v) / (q.n * d.n) AS score FROM u q, u d WHERE q.vec_id % 50 = 0)

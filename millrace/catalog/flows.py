@@ -21,7 +21,7 @@ book = Book()
 add = book.add
 
 # ---- plans
-BOXQ = r"regexp_extract_all(responses, '\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}', 1)[-1]"
+BOXQ = f"regexp_extract_all(responses, '{A.BOX}', 1)[-1]"
 CUR = f"""WITH a AS (SELECT DISTINCT rollout_id AS rid, prompts AS question, coalesce({BOXQ}, pred) AS answer FROM rollouts WHERE prompts IS NOT NULL),
  v AS (SELECT question, answer, count(*) AS votes, min(rid) AS p FROM a WHERE answer IS NOT NULL AND answer <> '' GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY votes DESC, p) AS k, CAST(sum(votes) OVER (PARTITION BY question) AS BIGINT) AS n FROM v)
@@ -99,10 +99,19 @@ def _stream(s, f, make, mode):
 
 add("stream_turn_states", lambda s, f: _stream(s, f, T.turn_states, "update").groupBy("user_id").agg(F.max("turns").alias("turns"), F.max("finished").alias("finished")))
 add("stream_window_counts", lambda s, f: _stream(s, f, T.windowed_counts, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
-add("stream_first_deliveries", lambda s, f: _stream(s, f, lambda e: T.first_deliveries(e, "event_id", "ts"), "append").agg(F.count("*").alias("n")), "SELECT count(DISTINCT event_id) AS n FROM events")
+add("stream_first_deliveries", lambda s, f: _stream(s, f, lambda e: T.first_deliveries(e, "event_id", "ts"), "append").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")), "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY event_type")
 # ---- sequential operators
-add("custom_balanced_parts", lambda s, f: custom.balanced_parts(read(s, f, "sequences").select("seq_id", F.size("input_ids").alias("n")).distinct().withColumn("batch", F.pmod("seq_id", F.lit(20))), "batch", "seq_id", "n", 4).groupBy("batch", "part").agg(F.count("*").alias("rows")))
-add("custom_greedy_parts", lambda s, f: custom.balanced_parts(read(s, f, "sequences").select("seq_id", F.size("input_ids").alias("n")).distinct().withColumn("batch", F.pmod("seq_id", F.lit(20))), "batch", "seq_id", "n", 4, "greedy").groupBy("batch").agg(F.count("*").alias("rows")), "SELECT seq_id % 20 AS batch, count(DISTINCT seq_id) AS rows FROM sequences GROUP BY 1")
+SIZED = "WITH q AS (SELECT DISTINCT seq_id, seq_id % 20 AS batch, len(input_ids) AS n FROM sequences WHERE input_ids IS NOT NULL)"
+
+
+def _parts(s, f, method):
+    q = read(s, f, "sequences").where("input_ids is not null").select("seq_id", F.size("input_ids").alias("n")).distinct().withColumn("batch", F.pmod("seq_id", F.lit(20)))
+    parts = custom.balanced_parts(q, "batch", "seq_id", "n", 4, method)
+    return custom.part_report(parts.join(q, ["batch", "seq_id"]), "batch", "part", "n")
+
+
+for method, name in (("kk", "balanced"), ("greedy", "greedy")):
+    add(f"custom_{name}_parts", lambda s, f, method=method: _parts(s, f, method), f"{SIZED} SELECT batch, count(*) AS rows, CAST(sum(n) AS BIGINT) AS total, true AS fair FROM q GROUP BY batch")
 #: Questions of a training batch, in the mean; the number of batches follows the table.
 BATCH = 128
 
@@ -114,7 +123,10 @@ def _cluster_shares(s, f):
 
 
 add("custom_cluster_shares", _cluster_shares)
-add("custom_first_match_groups", lambda s, f: custom.first_match_groups(read(s, f, "rollouts").where("uid is not null").select("uid", "rollout_id", "pred").distinct(), "uid", "rollout_id", "pred").groupBy("uid").agg(F.countDistinct("representative").alias("groups")), "SELECT uid, count(DISTINCT pred) AS groups FROM rollouts WHERE uid IS NOT NULL AND pred IS NOT NULL AND pred <> '' GROUP BY uid")
+NEGATIVE = "CASE rollout_id % 7 WHEN 0 THEN 'no solution' WHEN 1 THEN 'There is no answer' ELSE pred END"
+add("custom_first_match_groups", lambda s, f: custom.first_match_groups(read(s, f, "rollouts").where("uid is not null").selectExpr("uid", "rollout_id", f"{NEGATIVE} AS answer").distinct(), "uid", "rollout_id", "answer"),
+    f"""WITH x AS (SELECT DISTINCT uid, rollout_id, {NEGATIVE} AS answer FROM rollouts WHERE uid IS NOT NULL)
+    SELECT uid, rollout_id, CASE WHEN contains(lower(answer), 'no ') THEN first_value(answer) OVER (PARTITION BY uid, contains(lower(answer), 'no ') ORDER BY rollout_id, answer) ELSE answer END AS representative FROM x WHERE answer <> ''""")
 
 
 @F.pandas_udf(DoubleType())

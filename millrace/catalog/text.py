@@ -19,7 +19,7 @@ def _all(p: str, g: int = 1, t: str = "responses") -> str:
     return f"regexp_extract_all({t}, '{p}', {g})"
 
 
-BOX = r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
+BOX = A.BOX
 col("boxed_all", lambda: F.array_join(A.boxed_all(T), "|"), f"array_to_string({_all(BOX)}, '|')")
 col("boxed_last", lambda: A.boxed_last(T), f"{_all(BOX)}[-1]")
 col("hash_answer", lambda: A.hash_answer(T), "regexp_replace(regexp_extract_all(responses, '#### (-?[0-9.,$]*[0-9])', 1)[-1], '[,$]', '', 'g')")

@@ -12,8 +12,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?"
-#: One level of braces inside a box: the regular subset of balanced boxes.
-BOX = r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
+#: Levels of braces inside a box.
+BOX_DEPTH = 6
+
+
+def box_pattern(depth: int) -> str:
+    """A box with up to `depth` levels of balanced braces inside."""
+    inner = "[^{}]*"
+    for _ in range(depth):
+        inner = rf"[^{{}}]*(?:\{{{inner}\}}[^{{}}]*)*"
+    return rf"\\boxed\{{({inner})\}}"
+
+
+BOX = box_pattern(BOX_DEPTH)
 
 
 def every(text: Column, pattern: str, group: int = 1) -> Column:
@@ -36,7 +47,7 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def boxed_all(text: Column) -> Column:
-    """All boxes in order (braces nested once)."""
+    """All closed boxes in order, with up to BOX_DEPTH levels of braces inside."""
     return every(text, BOX)
 
 
@@ -165,29 +176,31 @@ def without_units(text: Column) -> Column:
     return F.when(n == 1, F.substring_index(text, "\\text{ ", 1)).otherwise(text)
 
 
-#: What the LaTeX chain removes, in order (fixed values).
-LATEX_REMOVED = ["\n", "\\!", "\\left", "\\right", "^{\\circ}", "^\\circ", "\\$", "\\%", "%"]
+#: The plain LaTeX form as rules (pattern, replacement), applied from top to bottom; the comment says what a rule is for.
+LATEX_RULES = [
+    (r"\n|\\!", ""),  # line breaks and negative spaces carry no meaning
+    (r"\\\\", r"\\"),  # a backslash written twice
+    (r"[td]frac", "frac"),  # fraction sizes
+    (r"\\(?:left|right)", ""),  # bracket sizes
+    (r"\^(?:\{\\circ\}|\\circ)", ""),  # degrees
+    (r"\\\$", ""),  # currency
+    (r"(?s)^(?!.*\\text\{ .*\\text\{ )(.*?)\\text\{ .*$", "$1"),  # a unit, if there is just one
+    (r"\\?%", ""),  # percent
+    (r"([ {])\.", "$10."),  # .5 is 0.5, after a space or a brace
+    (r"^\.", "0."),  # and at the beginning
+    (r"(?s)^[^=]{1,2}=([^=]*)$", "$1"),  # "k = 3" answers 3
+    (r"\\sqrt([0-9a-z])", r"\\sqrt{$1}"),  # roots without braces
+    (" ", ""),
+    (r"\\frac([0-9a-z])\{", r"\\frac{$1}{"),  # fractions without braces
+    (r"\\frac([0-9a-z])([0-9a-z])", r"\\frac{$1}{$2}"),
+    (r"^0\.5$", r"\\frac{1}{2}"),
+    (r"^(-?[0-9]+)/(-?[0-9]+)$", r"\\frac{$1}{$2}"),
+]
 
 
 def latex_plain(text: Column) -> Column:
-    """The ordered LaTeX normalisation: delimiters, units, fractions, roots, leading zeros, spaces."""
-    x = text
-    x = F.replace(F.replace(x, F.lit("\n"), F.lit("")), F.lit("\\!"), F.lit(""))
-    x = F.replace(x, F.lit("\\\\"), F.lit("\\"))
-    x = F.replace(F.replace(x, F.lit("tfrac"), F.lit("frac")), F.lit("dfrac"), F.lit("frac"))
-    for s in LATEX_REMOVED[2:7]:
-        x = F.replace(x, F.lit(s), F.lit(""))
-    x = without_units(x)
-    for s in LATEX_REMOVED[7:]:
-        x = F.replace(x, F.lit(s), F.lit(""))
-    x = F.replace(F.replace(x, F.lit(" ."), F.lit(" 0.")), F.lit("{."), F.lit("{0."))
-    x = F.when(F.substring(x, 1, 1) == ".", F.concat(F.lit("0"), x)).otherwise(x)
-    x = F.when(F.regexp_like(x, F.lit(r"^[^=]{1,2}=[^=]*$")), F.regexp_extract(x, r"^[^=]{1,2}=([^=]*)$", 1)).otherwise(x)
-    x = mend_roots(x)
-    x = F.replace(x, F.lit(" "), F.lit(""))
-    x = mend_fractions(x)
-    x = F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x)
-    return mend_slash(x)
+    """The plain form of a LaTeX answer: LATEX_RULES in their order."""
+    return reduce(lambda x, rule: F.regexp_replace(x, rule[0], rule[1]), LATEX_RULES, text)
 
 
 def latex_equal(a: Column, b: Column) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,76 +154,126 @@ def whiten(df: DataFrame, value: str, mask: str | None = None, shift_mean: bool
     return df.join(F.broadcast(stats), how="cross").withColumn("whitened", y if shift_mean else y + F.col("__m")).drop("__m", "__v")
 
 
-# ---- token recursions: one fold over a row's arrays, no shuffle ---------------------------------------------------
+# ---- token recursions: vectorised over the rows of an Arrow batch, linear in a row's length, no shuffle -------------
 
 
-def _backward(arrays: list[Column], start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column], Column]) -> Column:
-    """Folds zipped arrays from their last element; returns the array of out(state) in token order."""
-    zipped = F.reverse(F.arrays_zip(*[a.alias(f"c{i}") for i, a in enumerate(arrays)]))
-    acc = F.aggregate(zipped, F.struct(start.alias("s"), F.array().cast("array<double>").alias("out")), lambda s, x: _push(step(s["s"], x), s["out"], out), lambda s: F.reverse(s["out"]))
-    return acc
+def _lists(arrays: tuple[pa.Array, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """(start and length of every row's list, flat values of each column, rows that hold a list in every column)."""
+    have = np.ones(len(arrays[0]), bool)
+    for x in arrays:
+        have &= x.is_valid().to_numpy(zero_copy_only=False)
+    rows = pa.array(np.flatnonzero(have))
+    taken = [x.take(rows) for x in arrays]
+    sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in taken]
+    n = np.max(sizes, axis=0) if len(rows) else np.zeros(0, np.int64)
+    start = np.concatenate(([0], np.cumsum(n)))[:-1].astype(np.int64)
+    flat = []
+    for x, size in zip(taken, sizes):
+        values = x.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        if (size == n).all():
+            flat.append(values)
+        else:  # a shorter list counts as filled up with nulls
+            out = np.full(int(n.sum()), np.nan)
+            out[np.repeat(start, size) + np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)] = values
+            flat.append(out)
+    return start, n, flat, have
 
 
-def _push(state: Column, done: Column, out: Callable[[Column], Column]) -> Column:
-    return F.struct(state.alias("s"), F.concat(done, F.array(out(state))).alias("out"))
+def _as_lists(values: np.ndarray, n: np.ndarray, have: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Rows of a flat result; rows without a list are null, NaN is null."""
+    sizes = np.zeros(len(have), np.int64)
+    sizes[have] = n
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, mask=np.isnan(values)).cast(kind), mask=pa.array(~have))
 
 
-def _state(**fields: Column) -> Column:
-    return F.struct(*[v.cast("double").alias(k) for k, v in fields.items()])
+def _backward(arrays: list[Column], start: tuple[float, ...], step: Callable[..., tuple[tuple[np.ndarray, ...], np.ndarray]]) -> Column:
+    """Runs step(state, tokens) -> (state, out) from the last token of every row to the first; all rows of a batch take each step together."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        first, n, flat, have = _lists(columns)
+        order = np.argsort(-n, kind="stable")
+        longest = n[order]
+        out = np.zeros(int(n.sum()))
+        state = tuple(np.full(len(n), x) for x in start)
+        for t in range(int(longest[0]) if len(longest) else 0):
+            k = int(np.searchsorted(-longest, -t, "left"))  # rows longer than t
+            state = tuple(x[:k] for x in state)
+            at = (first + n - 1)[order[:k]] - t
+            state, out[at] = step(state, tuple(x[at] for x in flat))
+        return _as_lists(out, n, have, pa.float64())
+
+    return _arrow(run, len(arrays), "array<double>")(*[a.cast("array<double>") for a in arrays])
+
+
+def _arrow(f: Callable[..., pa.Array], n: int, kind: str):
+    """f as an Arrow UDF of n columns."""
+
+    def one(a: pa.Array) -> pa.Array:
+        return f(a)
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return f(a, b)
+
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return f(a, b, c)
+
+    return F.arrow_udf((one, two, three)[n - 1], kind)
 
 
 def gae_carry(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
     """Advantages, masked tokens carry the next value and the next advantage through."""
 
-    def step(s: Column, x: Column) -> Column:
-        delta = x["c0"] + gamma * s["v"] - x["c1"]
-        a = delta + gamma * lam * s["a"]
-        m = x["c2"]
-        return _state(a=m * a + (1 - m) * s["a"], v=m * x["c1"] + (1 - m) * s["v"])
+    def step(s, x):
+        (a0, v0), (r, v, m) = s, x
+        a = m * (r + gamma * v0 - v + gamma * lam * a0) + (1 - m) * a0
+        return (a, m * v + (1 - m) * v0), a
 
-    return _backward([rewards, values, mask.cast("array<double>")], _state(a=F.lit(0.0), v=F.lit(0.0)), step, lambda s: s["a"])
+    return _backward([rewards, values, mask], (0.0, 0.0), step)
 
 
 def gae_plain(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Advantages, the next value is the next token's whatever the mask."""
 
-    def step(s: Column, x: Column) -> Column:
-        return _state(a=x["c0"] + gamma * s["v"] - x["c1"] + gamma * lam * s["a"], v=x["c1"])
+    def step(s, x):
+        a = x[0] + gamma * s[1] - x[1] + gamma * lam * s[0]
+        return (a, x[1]), a
 
-    return _backward([rewards, values], _state(a=F.lit(0.0), v=F.lit(0.0)), step, lambda s: s["a"])
+    return _backward([rewards, values], (0.0, 0.0), step)
 
 
 def gae_turns(rewards: Column, values: Column, turn_mask: Column, gamma: float, lam: float) -> Column:
     """Advantages, next value and next advantage count only if the next token's turn mask is set."""
 
-    def step(s: Column, x: Column) -> Column:
-        a = x["c0"] + gamma * s["v"] * s["m"] - x["c1"] + gamma * lam * s["a"] * s["m"]
-        return _state(a=a, v=x["c1"], m=x["c2"])
+    def step(s, x):
+        a = x[0] + gamma * s[1] * s[2] - x[1] + gamma * lam * s[0] * s[2]
+        return (a, x[1], x[2]), a
 
-    return _backward([rewards, values, turn_mask.cast("array<double>")], _state(a=F.lit(0.0), v=F.lit(0.0), m=F.lit(1.0)), step, lambda s: s["a"])
+    return _backward([rewards, values, turn_mask], (0.0, 0.0, 1.0), step)
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reverse discounted sum; after a masked token it starts anew."""
 
-    def step(s: Column, x: Column) -> Column:
-        r = x["c0"] + gamma * s["r"]
-        return _state(r=r * x["c1"], o=r)
+    def step(s, x):
+        r = x[0] + gamma * s[0]
+        return (r * x[1],), r
 
-    return _backward([rewards, mask.cast("array<double>")], _state(r=F.lit(0.0), o=F.lit(0.0)), step, lambda s: s["o"])
+    return _backward([rewards, mask], (0.0,), step)
 
 
 def masked_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reverse discounted sum where the mask applies before the return is stored: masked tokens hold 0."""
 
-    def step(s: Column, x: Column) -> Column:
-        return _state(r=(x["c0"] + gamma * s["r"]) * x["c1"])
+    def step(s, x):
+        r = (x[0] + gamma * s[0]) * x[1]
+        return (r,), r
 
-    return _backward([rewards, mask.cast("array<double>")], _state(r=F.lit(0.0)), step, lambda s: s["r"])
+    return _backward([rewards, mask], (0.0,), step)
 
 
 def reverse_cumsum(values: Column) -> Column:
-    return _backward([values], _state(r=F.lit(0.0)), lambda s, x: _state(r=s["r"] + x["c0"]), lambda s: s["r"])
+    return _backward([values], (0.0,), lambda s, x: ((s[0] + x[0],), s[0] + x[0]))
 
 
 def remax(rewards: Column, baseline: Column, mask: Column) -> Column:
@@ -240,25 +292,29 @@ def remax_scalar(rewards: Column, baseline: Column, mask: Column) -> Column:
 # ---- masks --------------------------------------------------------------------------------------------------------
 
 
-def running(values: Column, keep: Callable[[Column, Column], Column], start: Column) -> Column:
-    """Array of running states of a fold from the left."""
-    first = F.struct(start.alias("s"), F.array().cast("array<long>").alias("out"))
-    return F.aggregate(values, first, lambda s, x: F.struct(keep(s["s"], x).alias("s"), F.array_append(s["out"], keep(s["s"], x)).alias("out")), lambda s: s["out"])
+def running_sum(values: Column) -> Column:
+    """Sums of the elements up to each one; from a null on the sums are null."""
 
+    def run(column: pa.Array) -> pa.Array:
+        start, n, (x,), have = _lists((column,))
+        total = np.cumsum(np.nan_to_num(x))
+        base = np.concatenate(([0.0], total))[start] if len(start) else np.zeros(0)
+        out = total - np.repeat(base, n)
+        gone = np.cumsum(np.isnan(x))
+        out[gone > np.repeat(np.concatenate(([0], gone))[start], n)] = np.nan
+        return _as_lists(out, n, have, pa.int64())
 
-def running_sum(values: Column) -> Column:
-    return running(values.cast("array<long>"), lambda s, x: s + x, F.lit(0).cast("long"))
+    return _arrow(run, 1, "array<bigint>")(values.cast("array<double>"))
 
 
 def response_mask(ids: Column, eos: int) -> Column:
     """1 up to and with the first end token."""
-    hits = F.transform(ids, lambda x: (x == eos).cast("long"))
-    return F.zip_with(running_sum(hits), hits, lambda c, h: (c - h == 0).cast("long"))
+    return let(F.array_position(ids, F.lit(eos)), lambda p: F.transform(ids, lambda x, i: ((p == 0) | (i < p)).cast("long")))
 
 
 def response_mask_before(ids: Column, eos: int) -> Column:
     """1 before the first end token, which itself is out."""
-    return F.transform(running_sum(F.transform(ids, lambda x: (x == eos).cast("long"))), lambda c: (c == 0).cast("long"))
+    return let(F.array_position(ids, F.lit(eos)), lambda p: F.transform(ids, lambda x, i: ((p == 0) | (i < p - 1)).cast("long")))
 
 
 def position_ids(mask: Column) -> Column:
@@ -282,8 +338,8 @@ def run_discount(mask: Column, reward: Column, factor: float) -> Column:
     """reward * factor ** (runs of ones that follow) at the ones, 0 elsewhere."""
     prev = F.concat(F.array(F.lit(0)), F.slice(mask, 1, F.greatest(F.size(mask) - 1, F.lit(0))))
     run = running_sum(F.zip_with(mask, prev, lambda m, p: ((m == 1) & (p == 0)).cast("long")))
-    after = lambda n: F.zip_with(mask, run, lambda m, r: F.when(m == 1, reward * F.pow(F.lit(factor), (n - r).cast("double"))).otherwise(0.0))
-    return let(n_actions(mask), after)
+    follow = F.zip_with(F.array_repeat(n_actions(mask), F.size(mask)), run, lambda n, r: n - r)
+    return F.zip_with(mask, follow, lambda m, k: F.when(m == 1, reward * F.pow(F.lit(factor), k.cast("double"))).otherwise(0.0))
 
 
 def run_ends(mask: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,6 +146,24 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
 
+# ---- routes -------------------------------------------------------------------------------------------------------
+
+
+def routed(df: DataFrame, route: str, row_id: str, handlers: dict[str, Callable[[DataFrame], DataFrame]], other: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Each route's rows through its own handler, the results together under their row ids.
+
+    A handler takes and returns frames that keep row_id.  Rows of an unknown or null route go to `other`; without it they fail.
+    """
+    parts = [h(df.where(F.col(route) == name)) for name, h in handlers.items()]
+    rest = df.where(F.col(route).isNull() | ~F.col(route).isin(*handlers)) if handlers else df
+    if other is not None:
+        parts.append(other(rest))
+    else:
+        refused = F.raise_error(F.concat(F.lit("no handler for "), F.coalesce(route, F.lit("null")))).cast(dict(df.dtypes)[row_id])
+        parts.append(rest.select(refused.alias(row_id)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 # ---- joins --------------------------------------------------------------------------------------------------------
 
 

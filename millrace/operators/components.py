@@ -35,6 +35,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         edges.select("v").distinct().join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_anti").select(F.col("v").alias("node"), F.col("v").alias("component"))
     )

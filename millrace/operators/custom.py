@@ -8,9 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import small_side, written
+
 #: Largest group that the sequential operators accept: one training batch.
 MOST_IN_GROUP = 20_000
 
@@ -128,31 +130,27 @@ def cluster_shares(df: DataFrame, batch: str, row_id: str, text: str, limit: flo
     return df.where(F.col(text).isNotNull()).select(batch, row_id, text).groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {row_id} {kinds[row_id]}, cluster int, share double")
 
 
-def equivalent(a: str, b: str) -> bool:
-    """Answers taken as one: equal, or both of the kind "no ..."."""
-    return a == b or ("no " in a.lower() and "no " in b.lower())
+def is_negative(answer: Column) -> Column:
+    """Answers of the kind "no ...": all of them are taken as one."""
+    return F.contains(F.lower(answer), F.lit("no "))
 
 
 def first_match_groups(df: DataFrame, key: str, row_id: str, answer: str) -> DataFrame:
-    """(key, row_id, representative): each answer joins the first earlier representative it matches, in row order."""
-    kinds = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # equal answers always share a representative: only distinct ones are compared
-        pdf = pdf.sort_values(row_id, ignore_index=True)
-        reps: list[str] = []
-        found: dict[str, str] = {}
-        out = []
-        for a in pdf[answer]:
-            if a not in found:
-                found[a] = next((r for r in reps if equivalent(r, a)), a)
-                if found[a] == a:
-                    reps.append(a)
-            out.append(found[a])
-        return pd.DataFrame({key: pdf[key], row_id: pdf[row_id], "representative": out})
+    """(key, row_id, representative): each answer joins the first earlier one it is equal to, or with which it is of the kind "no ...".
 
+    Both relations are equivalences, so the first match of an answer is the first answer of its kind: one map-side
+    combined aggregate for each key, no walk over its rows.  Null and empty answers are left out.
+    """
     x = df.where(F.col(answer).isNotNull() & (F.col(answer) != "")).select(key, row_id, answer)
-    return x.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, representative string")
+    first = x.where(is_negative(F.col(answer))).groupBy(key).agg(F.min_by(answer, F.struct(row_id, answer)).alias("__first"))
+    y = x.join(small_side(written(first, "negatives")), key, "left")
+    return y.select(key, row_id, F.when(is_negative(F.col(answer)), F.col("__first")).otherwise(F.col(answer)).alias("representative"))
+
+
+def part_report(parts: DataFrame, batch: str, part: str, length: str) -> DataFrame:
+    """(batch, rows, total, fair): what a division holds, and whether its parts differ by no more than its largest item."""
+    one = parts.groupBy(batch, part).agg(F.count("*").alias("n"), F.sum(length).alias("t"), F.max(length).alias("m"))
+    return one.groupBy(batch).agg(F.sum("n").alias("rows"), F.sum("t").alias("total"), (F.max("t") - F.min("t") <= F.max("m")).alias("fair"))
 
 
 def repetition(text: str) -> float:
