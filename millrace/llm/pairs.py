@@ -39,14 +39,15 @@ _INVISIBLE = re.compile("[\\s\u00ad\u200b-\u200f\u2028-\u202f\u2060\ufeff]+")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“]*“|「[^」]*」|`[^`]*`")
 
 
-_CONTENT = re.compile(r"[^\W_]{2,} [^\W_]{2,}|[㐀-鿿]{4}")
+#: More words in a row than any sign for "no value" or tag has: the text is not empty.
+_CONTENT = re.compile(r"[^\W_]+ [^\W_]+ [^\W_]+|[㐀-鿿]{4}")
 
 
 def is_empty(text: str | None) -> bool:
     """No content once blanks and markup are set aside, or only a sign for no value."""
     if text is None:
         return True
-    if len(text) > 40 and _CONTENT.search(text):
+    if _CONTENT.search(text):
         return False
     bare = _INVISIBLE.sub(" ", _MARKUP.sub(" ", text)).strip()
     if not any(c.isalnum() for c in bare):
@@ -66,6 +67,10 @@ _DECLINE = re.compile(
     | \b(?:kann|darf|möchte|werde|will)\b[^.!?]{0,40}\b(?:nicht|keine?n?)\b | \bnicht\ (?:helfen|beantworten|bearbeiten|möglich|in\ der\ lage) | \b(?:muss|möchte)\ (?:ich\ )?(?:\w+\ ){0,4}ablehnen
     | \bne\ (?:peux|veux|puis|suis|souhaite|dois|saurais)\b[^.!?]{0,30}\b(?:pas|point)\b | \bpréfère\ ne\ pas\b | \bm'est\ impossible\b | \bm’est\ impossible\b | \b(?:refuse|décline)\b | \bdois\ (?:refuser|décliner)
     | \bno\ (?:puedo|me\ está\ permitido|me\ es\ posible|estoy\ autorizad[oa]|voy\ a|quiero)\b | \bprefiero\ no\b | \b(?:debo|tengo\ que)\ (?:rechazar|negarme|declinar)\b | \bme\ niego\b
+    | \bnon\ (?:posso|possiamo|sono\ in\ grado|mi\ è\ (?:possibile|permesso))\b | \b(?:devo|dobbiamo)\ (?:rifiutare|declinare)\b | \bpreferisco\ non\b
+    | \bnão\ (?:posso|podemos|consigo|estou\ autorizad[oa]|me\ é\ permitido)\b | \b(?:devo|tenho\ de|tenho\ que)\ recusar\b | \bprefiro\ não\b
+    | \b(?:kan|mag|wil)\b[^.!?]{0,40}\bniet\b | \bmoet\b[^.!?]{0,40}\bweigeren\b
+    | \bне\ (?:могу|можем|в\ состоянии)\b | できません | 致しかねます | 할\ 수\ 없
     | 无法 | 不能 | 不便 | 拒绝 | 不可以 | 没有办法 | 不予
     """,
     re.X | re.I,
@@ -78,12 +83,23 @@ _ABOUT = re.compile(
     | \b(?:frage|aufgabe|anfrage|bitte|dazu|dabei|auskunft|helfen|leid|leider|assistent)\b
     | \b(?:question|demande|aider|point|désolée?|malheureusement|assistante?|sujet)\b
     | \b(?:pregunta|tarea|ayudar|eso|lo\ siento|desgracia|lamentablemente|asistente|solicitud|tema)\b
+    | \b(?:richiesta|domanda|compito|aiutar\w*|dispiace|purtroppo|assistente|argomento)\b | \b(?:pergunta|pedido|tarefa|ajudar|desculpe|infelizmente|solicitação)\b | \b(?:vraag|verzoek|opdracht|helpen|helaas|spijt)\b
+    | \b(?:вопрос\w*|запрос\w*|помочь|сожалению)\b | 質問 | お答え | 申し訳 | 질문 | 죄송
     | 问题 | 请求 | 任务 | 抱歉 | 遗憾 | 助手 | 帮助 | 回答
     """,
     re.X | re.I,
 )
-_ANSWER = re.compile(r"\\boxed\{[^{}]*\S[^{}]*\}|####\s*\S|\*\*\s*-?\d|```\w*\s*\S|(?<![\w])-?\d")
-REFUSAL_WORDS = 70
+#: What an answer is marked by, and what may be one.
+_MARKED = re.compile(r"\\boxed\{[^{}]*\S[^{}]*\}|####\s*\S|\*\*\s*-?\d|```\w*\s*\S")
+_ANSWER = re.compile(_MARKED.pattern + r"|(?<![\w])-?\d")
+#: The request itself, without mere pointing words.
+_REQUEST_ITSELF = re.compile(
+    r"\b(?:this|that|your|the|these|those|such)\ (?:question|request|problem|task|topic|query|matter)s?\b|\byour\ (?:\w+\ )?request|\b(?:question|request|topic|task|problem|matter)s?\ (?:of|like)\ (?:this|that)\b|\b(?:help|assist|respond|comply)\b|(?<!the )\banswer\b(?! is)|\b(?:language\ model|assistant|sorry|apologi[sz]e|unfortunately)\b"
+    r"|\b(?:anfrage|frage|aufgabe|helfen|beantworten|leider|assistent|demande|aider|répondre|malheureusement|assistante?|solicitud|pregunta|ayudar|responder|lamentablemente|asistente|richiesta|domanda|aiutar\w*|rispondere|purtroppo|pergunta|pedido|ajudar|infelizmente|verzoek|vraag|helpen|helaas)\b"
+    r"|请求|问题|帮助|回答|抱歉",
+    re.I,
+)
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 
 
 def without_thought(text: str) -> str:
@@ -91,15 +107,32 @@ def without_thought(text: str) -> str:
 
 
 def is_refusal(text: str) -> bool:
-    """Declines and gives no answer: no number, code or marked answer outside quotations."""
+    """Declines and gives no answer: no marked answer, and no number or code outside quotations and the sentences that decline.
+
+    Either one of the first two sentences declines the request itself, whatever is said then, or most of the text declines
+    or speaks of the request.
+    """
     body = without_thought(text)
     body = _QUOTED.sub(" ", body if body.strip() else text)
-    if _ANSWER.search(body) or len(T.words(body)) > REFUSAL_WORDS + 40 * bool(re.search(r"[一-鿿]", body)):
+    *opening, rest = (_SENTENCES.split(body.strip(), 2) + [""])[:3]
+    if _ANSWER.search(rest) or _MARKED.search(body):
+        return False
+    numbered = any(_ANSWER.search(s) for s in opening)
+    declines = [_DECLINE.search(s) is not None for s in opening]
+    if numbered and any(_ANSWER.search(s) for s, d in zip(opening, declines) if not d):
         return False
-    return bool(_DECLINE.search(body) and _ABOUT.search(body))
+    if any(d and _REQUEST_ITSELF.search(s) for s, d in zip(opening, declines)):
+        return True
+    if numbered or not _DECLINE.search(body) or not _ABOUT.search(body):
+        return False
+    sentences = [s for s in _SENTENCES.split(body) if s.strip()]
+    of_it = sum(len(s) for s in sentences if _ABOUT.search(s) or _DECLINE.search(s))
+    return 2 * of_it >= sum(map(len, sentences))
 
 
 COPY_WINDOW = 12
+#: Characters at the end that are looked at first.
+LOOK = 400
 COPY_COVER = 0.7
 COPY_EXTRA = 0.04
 #: Words that may lead in a copy ("You asked: ...").
@@ -108,13 +141,16 @@ COPY_LEAD = 5
 
 def is_copy(prompt: str, text: str) -> bool:
     """Gives back the prompt, whole or nearly so, once or again and again, and nothing else."""
-    p, known, rare = prompt_words(prompt)
-    if len(p) < 4 or len(text) < COPY_COVER * 0.5 * len(prompt):
-        return False
-    low = text.lower()
-    # nearly all of a copy's words are the prompt's, so it holds about half of the prompt's longest words at the very least
-    if text.isascii() and sum(w in low for w in rare) < 0.45 * len(rare):
+    p, known = prompt_words(prompt)
+    if len(p) < 4:
         return False
+    if len(text) > LOOK:
+        # the words of the end that the prompt does not have are already more than a copy of any length this text can have may hold
+        end = text[-LOOK:]
+        end = T.words(T.strip_markup(end[end.find(" ") + 1 :]))[1:]
+        most = len(text) // 2 + 1 if text.isascii() else len(text)
+        if sum(w not in known for w in end) > max(1, COPY_EXTRA * most) + COPY_LEAD:
+            return False
     r = T.words(T.strip_markup(text))
     if len(r) < COPY_COVER * len(p) or sum(w not in known for w in r) > max(1, COPY_EXTRA * len(r)) + COPY_LEAD:
         return False
@@ -143,10 +179,10 @@ def is_copy(prompt: str, text: str) -> bool:
 
 
 @lru_cache(maxsize=20_000)
-def prompt_words(prompt: str) -> tuple[list[str], frozenset[str], list[str]]:
-    """(words, their set, the longest ones)."""
+def prompt_words(prompt: str) -> tuple[list[str], frozenset[str]]:
+    """(words, their set)."""
     p = T.words(T.strip_markup(prompt))
-    return p, frozenset(p), sorted(set(p), key=lambda w: (-len(w), w))[:8]
+    return p, frozenset(p)
 
 
 #: Frequent words that tell the Latin-script languages apart (fixed values).

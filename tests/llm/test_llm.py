@@ -58,6 +58,94 @@ def test_pair_rules(prompt, text, want):
     assert pairs.rules(prompt, text) == want
 
 
+#: Pairs in words that the tables do not use: for every language a prompt, sound answers, refusals, and answers in another language.
+UNSEEN = {
+    "en": (
+        "Which of the two roads that leave the village is the shorter one, and why do most of the carters take the other?",
+        ["The northern road is shorter, but it climbs over the ridge and carts with a heavy load do not get up there in winter.", "They take the lower road since the upper one is washed out each spring.", "Both are of the same length; the carters like the inn at the lower road.", "The one by the mill. Its bridge is too weak for a cart, so the carters go round."],
+        ["I'm sorry, but I'm not able to answer this question.", "I must decline to answer that request.", "As a language model I cannot help with your question. You may want to ask somebody who lives there.", "Unfortunately I am not allowed to respond to requests like this.", "I won't assist with this task."],
+    ),
+    "de": (
+        "Welche der beiden Straßen aus dem Dorf ist die kürzere, und warum nehmen die meisten Fuhrleute die andere?",
+        ["Die nördliche Straße ist kürzer, aber sie führt über den Kamm und ist im Winter nicht zu befahren.", "Sie nehmen die untere, weil die obere jedes Frühjahr unter Wasser steht.", "Beide sind gleich lang, und an der unteren liegt das Gasthaus.", "Die an der Mühle ist kürzer. Ihre Brücke ist für einen Wagen zu schwach."],
+        ["Es tut mir leid, aber ich kann diese Frage nicht beantworten.", "Bei dieser Aufgabe darf ich leider nicht helfen.", "Ich muss diese Anfrage ablehnen.", "Leider ist es mir nicht möglich, die Frage zu beantworten.", "Als Assistent möchte ich dazu nichts sagen und kann dabei nicht helfen."],
+    ),
+    "fr": (
+        "Laquelle des deux routes qui partent du village est la plus courte, et pourquoi les charretiers prennent-ils l'autre ?",
+        ["La route du nord est plus courte, mais elle passe par la crête et les charrettes ne la montent pas en hiver.", "Ils prennent celle du bas parce que celle du haut est coupée chaque printemps.", "Les deux ont la même longueur, et il y a une auberge sur celle du bas.", "Celle du moulin est la plus courte. Son pont est trop faible pour une charrette."],
+        ["Je suis désolé, mais je ne peux pas répondre à cette question.", "Je dois refuser cette demande.", "Malheureusement, je ne suis pas en mesure de vous aider.", "Il m'est impossible de traiter cette demande.", "Je préfère ne pas répondre à cette question."],
+    ),
+    "es": (
+        "¿Cuál de los dos caminos que salen del pueblo es el más corto, y por qué los carreteros toman el otro?",
+        ["El camino del norte es más corto, pero sube por la cresta y los carros no lo pasan en invierno.", "Toman el de abajo porque el de arriba se inunda cada primavera.", "Los dos tienen la misma longitud, y en el de abajo hay una posada.", "El del molino es el más corto. Su puente es demasiado débil para un carro."],
+        ["Lo siento, pero no puedo responder a esta pregunta.", "Debo rechazar esta solicitud.", "Lamentablemente no me es posible ayudar con eso.", "No estoy autorizado a responder a esta pregunta.", "Prefiero no contestar a esta pregunta."],
+    ),
+    "zh": (
+        "离开村子的两条路哪一条更短，为什么大多数车夫走另一条？",
+        ["北边的路更短，但是要翻过山脊，冬天车子上不去。", "他们走下面那条，因为上面那条每年春天都会被水淹。", "两条路一样长，下面那条路边有一家客栈。", "磨坊旁边的那条更短，只是桥太弱，车子过不去。"],
+        ["抱歉，我无法回答这个问题。", "很遗憾，我不能帮助您完成这个请求。", "作为助手，我不便回答此类问题。", "我必须拒绝这个请求。", "对不起，我没有办法处理这个问题。"],
+    ),
+}
+
+
+def unseen_pairs():
+    """(prompt, response, defects): at least 200 pairs over five languages."""
+    for own, (prompt, sound, refusals) in UNSEEN.items():
+        yield from ((prompt, x, []) for x in sound)
+        yield from ((prompt, x, ["refusal"]) for x in refusals)
+        yield from ((prompt, f"{prompt} {x}", []) for x in sound)  # restated, then answered
+        yield from ((prompt, x, ["copy"]) for x in (prompt, prompt.upper(), f"<answer>{prompt}</answer>", prompt.rstrip("?？ "), f"{prompt} {prompt}"))
+        yield from ((prompt, x, []) for x in ("B", "42", "$x = 3$", "\\boxed{7}"))
+        yield from ((prompt, x, ["empty"]) for x in ("", " \n", "N/A", "<answer></answer>", None, "null"))
+        for other, (_, answers, declines) in UNSEEN.items():
+            if other != own:
+                yield from ((prompt, x, ["language"]) for x in answers)
+                yield prompt, declines[0], ["refusal"]  # a refusal is never also language
+
+
+def test_unseen_pairs():
+    """Precision and recall by type on words that no list was made from."""
+    pairs_ = list(unseen_pairs())
+    got = [(want, pairs.rules(p, t)) for p, t, want in pairs_]
+    assert len(got) >= 200
+    for kind in ("empty", "refusal", "copy", "language"):
+        true, found = sum(kind in w for w, _ in got), sum(kind in g for _, g in got)
+        both = sum(kind in w and kind in g for w, g in got)
+        print(f"{kind}: {both} of {true} found, {found} flagged")
+        assert both >= 0.9 * true and both >= 0.9 * found
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("I cannot help with this request. The bird is in the tree. It sings all day. The wind is soft. Grass grows by the road.", True), ("As an AI language model, I cannot answer step 1 of your request.", True),
+        ("Mi dispiace, non posso aiutarti con questa richiesta.", True), ("Desculpe, não posso responder a esta pergunta.", True), ("Helaas kan ik deze vraag niet beantwoorden.", True),
+        ("We cannot divide the rope here, so we take the rest and go on.", False), ("I cannot help with this request. Still, \\boxed{4} is it.", False), ("I cannot simply add them. The answer is 12.", False), ("x" * 100_000, False),
+    ],
+)
+def test_refusals(text, want):
+    assert pairs.is_refusal(text) is want
+
+
+def test_copy_look_changes_nothing():
+    """The look at a text's end tells the same as the whole comparison."""
+    rnd = random.Random(21)
+    old = pairs.LOOK
+    cases = []
+    for _ in range(300):
+        p = text_of(rnd, rnd.randint(5, 60))
+        w = p.split() * rnd.randint(1, 4)
+        for _ in range(rnd.randint(0, 12)):
+            w[rnd.randrange(len(w))] = rnd.choice(WORDS)
+        cases.append((p, " ".join(w + [rnd.choice(WORDS) for _ in range(rnd.choice([0, 0, 1, 5, 40]))])))
+    quick = [pairs.is_copy(p, t) for p, t in cases]
+    try:
+        pairs.LOOK = 10**9
+        assert quick == [pairs.is_copy(p, t) for p, t in cases] and 20 < sum(quick) < 280
+    finally:
+        pairs.LOOK = old
+
+
 @pytest.mark.parametrize(
     ("text", "state"),
     [
