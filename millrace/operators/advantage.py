@@ -1,10 +1,8 @@
 """Group-normalised advantages and returns.
 
-Frames have one row for each response; token columns are arrays.  All group
-statistics of one estimator come from one window over the group key, so a chain
-of them costs one exchange.  A hot group is a single window partition of narrow
-rows; where only its statistics are needed, use group_stats, which is map-side
-combined, and join them back.
+Frames have one row for each response; token columns are arrays.  Group
+statistics are map-side combined and joined back to the rows, by broadcast while
+the table of groups is small.
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import let
+from millrace.session import small_side, written
 
 EPS = 1e-6
 WHITEN_EPS = 1e-8
@@ -44,10 +43,18 @@ def group_stats(df: DataFrame, group: str, score: str) -> DataFrame:
     )
 
 
+def with_group(df: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """The rows with the columns of their group's row; a null group is a group of its own.
+
+    The table of groups is written and sent to the rows while it is small, so a hot group's rows stay where they are.
+    """
+    g = small_side(written(groups.withColumnRenamed(group, "__g"), "groups"))
+    return df.join(g, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+
+
 def with_stats(df: DataFrame, group: str, score: str) -> DataFrame:
     """The rows with their group's statistics; a null group is a group of its own."""
-    g = group_stats(df, group, score).withColumnRenamed(group, "__g")
-    return df.join(g, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    return with_group(df, group_stats(df, group, score), group)
 
 
 @estimator("grpo")
@@ -90,8 +97,8 @@ def rloo(df: DataFrame, group: str = "uid", score: str = "score") -> DataFrame:
 @estimator("opo")
 def opo(df: DataFrame, group: str = "uid", score: str = "score", length: str = "length") -> DataFrame:
     """Baseline: the length-weighted mean of the group; 0 for a group of one."""
-    g = df.groupBy(group).agg(F.count(score).alias("n"), (F.sum(F.col(score) * F.col(length)) / F.sum(length)).alias("base")).withColumnRenamed(group, "__g")
-    x = df.join(g, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    g = df.groupBy(group).agg(F.count(score).alias("n"), (F.sum(F.col(score) * F.col(length)) / F.sum(length)).alias("base"))
+    x = with_group(df, g, group)
     return x.withColumn("advantage", F.col(score) - F.when(F.col("n") == 1, 0.0).otherwise(F.col("base")))
 
 
@@ -114,10 +121,10 @@ def reinforce_baseline(df: DataFrame, group: str = "uid", score: str = "score",
 def gapo(df: DataFrame, group: str = "uid", score: str = "score", actions: str = "n_actions") -> DataFrame:
     """Mean and sample std weighted by the number of actions; rows without actions do not count."""
     w, s = F.col(actions).cast("double"), F.col(score)
-    g = df.groupBy(group).agg(F.sum(w).alias("n"), F.sum(w * s).alias("s1"), F.sum(w * s * s).alias("s2")).withColumnRenamed(group, "__g")
+    g = df.groupBy(group).agg(F.sum(w).alias("n"), F.sum(w * s).alias("s1"), F.sum(w * s * s).alias("s2"))
     mean = F.col("s1") / F.col("n")
     std = F.sqrt(F.greatest((F.col("s2") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
-    x = df.join(g, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    x = with_group(df, g, group)
     a = F.when(F.col("n") > 1, (s - mean) / (std + EPS)).when(F.col("n") == 1, s / (1.0 + EPS)).otherwise(s)
     return x.withColumn("advantage", a).drop("s1", "s2")
 

@@ -69,20 +69,20 @@ def best_of(values: Column, n: Column, best: bool = True) -> Column:
 
 def validation_rollup(df: DataFrame, source: str, prompt: str, value: str) -> DataFrame:
     """(source, metric, value): mean@N, std@N (population), best@n and worst@n for n = 2, 4, ... < N and N, averaged over prompts."""
-    g = df.where(F.col(value).isNotNull()).groupBy(source, prompt).agg(F.collect_list(value).alias("x"))
-    n = F.size("x")
-    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.pow(F.lit(2.0), i).cast("int")), lambda k: k < n)
-    ns = F.when(n > 1, F.concat(powers, F.array(n))).otherwise(F.array().cast("array<int>"))
-    mean = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / n
-    sq = let(mean, lambda mu: F.aggregate(F.col("x"), F.lit(0.0), lambda a, b: a + (b - mu) * (b - mu)))
-    entry = lambda name, v: F.struct(F.concat(F.lit(name), F.lit("@"), n).alias("metric"), v.alias("v"))
-    many = F.flatten(F.transform(ns, lambda k: F.array(
-        F.struct(F.concat(F.lit("best@"), k).alias("metric"), best_of(F.col("x"), k).alias("v")),
-        F.struct(F.concat(F.lit("worst@"), k).alias("metric"), best_of(F.col("x"), k, best=False).alias("v")),
-    )))
-    base = F.array(entry("mean", mean))
-    all_of = F.concat(base, F.when(n > 1, F.array(entry("std", F.sqrt(sq / n)))).otherwise(F.array().cast("array<struct<metric:string,v:double>>")), many)
-    return g.select(source, prompt, F.explode(all_of).alias("m")).groupBy(source, "m.metric").agg(F.avg("m.v").alias("value"))
+    x = df.where(F.col(value).isNotNull()).select(source, prompt, F.col(value).cast("double").alias("__v"))
+    group = Window.partitionBy(source, prompt)
+    # a value's weight in each expectation follows from its rank: no group is collected, a large one is a sorted partition that may spill
+    x = x.withColumn("__i", F.row_number().over(group.orderBy("__v"))).withColumn("__n", F.count("*").over(group))
+    i, n, v = F.col("__i"), F.col("__n"), F.col("__v")
+    powers = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(n)).cast("int"), F.lit(1))), lambda p: F.pow(F.lit(2.0), p).cast("long")), lambda k: k < n)
+    draws = F.when(n > 1, F.concat(powers, F.array(n))).otherwise(F.array().cast("array<bigint>"))
+    part = lambda name, k, w: F.struct(F.concat(F.lit(name), F.lit("@"), k).alias("metric"), (v * w).alias("v"))
+    best = F.transform(draws, lambda k: part("best", k, F.pow(i / n, k) - F.pow((i - 1) / n, k)))
+    worst = F.transform(draws, lambda k: part("worst", k, F.pow((n - i + 1) / n, k) - F.pow((n - i) / n, k)))
+    parts = x.select(source, prompt, F.explode(F.concat(F.array(part("mean", n, 1 / n)), best, worst)).alias("m")).select(source, prompt, "m.*")
+    sums = parts.groupBy(source, prompt, "metric").agg(F.sum("v").alias("v"))
+    spreads = x.groupBy(source, prompt).agg(F.count("*").alias("n"), F.stddev_pop("__v").alias("v")).where("n > 1").select(source, prompt, F.concat(F.lit("std@"), "n").alias("metric"), "v")
+    return sums.unionByName(spreads).groupBy(source, "metric").agg(F.avg("v").alias("value"))
 
 
 # ---- accuracy -----------------------------------------------------------------------------------------------------

@@ -15,8 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import spread_join
+from millrace.session import small_side, written
+
 #: Queries in one block: with 1024 doubles each, 32 MB.
 BLOCK = 4_096
+#: Queries that are scored against a batch at a time.
+TILE = 256
 #: Queries one call accepts; more are to be given in several calls, each against all rows.
 MOST_QUERIES = 200_000
 
@@ -64,11 +69,18 @@ def _block(corpus: DataFrame, q, k: int, key: str, vector: str, normalise: bool)
             keys = b.column(0).to_numpy(zero_copy_only=False)
             if not len(keys) or k < 1:
                 continue
-            s = m @ _matrix(b.column(1).to_pylist(), normalise).T
-            order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            cols = order.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(keys[cols]), pa.array(s[rows, cols])], names=["query_id", "key", "score"])
+            c = _matrix(b.column(1).to_pylist(), normalise).T
+            for at in range(0, len(ids), TILE):
+                s = m[at : at + TILE] @ c
+                # all that reach the k-th best score, then the k first of them by score and key
+                least = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+                rows, cols = np.nonzero(s >= least[:, None])
+                order = np.lexsort((keys[cols], -s[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                first = np.searchsorted(rows, np.arange(len(s)))
+                best = np.arange(len(rows)) - first[rows] < k
+                rows, cols = rows[best], cols[best]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows]), pa.array(keys[cols]), pa.array(s[rows, cols])], names=["query_id", "key", "score"])
 
     base = corpus.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
     return base.mapInArrow(match, "query_id long, key long, score double")
@@ -87,17 +99,18 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query:
 
     Only terms of queries are kept from the documents before anything is
     shuffled; document counts and the mean length are aggregates over all of them.
+    A common term's documents are spread over tasks.
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)).  Ties go to the smaller document.
     """
     q = queries.where(F.col(query).isNotNull()).select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
     d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("t")).withColumn("len", F.size("t"))
     total = d.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))  # one row
-    wanted = q.select("term").distinct()
+    wanted = small_side(written(q.select("term").distinct(), "terms"))
     tf = d.select("doc_id", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     w = tf.join(df, "term").join(F.broadcast(total), how="cross").select("term", "doc_id", weight.alias("w"))
-    s = q.join(w, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
+    s = spread_join(q, written(w, "weights"), ["term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
     win = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its written size and its rows stay within these bounds.
 BROADCAST_BYTES = 8 << 20
 BROADCAST_ROWS = 400_000
+_OWNED: dict[str, str] = {}
 
 
 def local_session(app: str = "millrace", cpus: int | str = 4, **conf: str) -> SparkSession:
@@ -46,10 +47,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """The folder of this application's own tables; it is removed when the application ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_folder(spark)}/millrace/{sc.applicationId}"
+    if _OWNED.get(sc.applicationId) != folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWNED[sc.applicationId] = folder
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the tables written so far; frames that read them can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path, True)
+    fs.mkdirs(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
