@@ -120,7 +120,8 @@ def thresholds(sizes: DataFrame, planned: DataFrame, bits: int = LEVEL_BITS, lev
         state = written(
             joined.select(
                 "mix_name", "source", "passes", "rest",
-                F.coalesce(F.expr(f"e.b * {width}L"), F.col("lo0") + F.lit(span)).alias("lo"),
+                # the last level's bucket is taken whole if that comes nearer to the budget
+                F.coalesce(F.expr(f"(e.b + IF({str(level == levels - 1).lower()} AND 2 * (left - (e.upto - e.t)) > e.t, 1, 0)) * {width}L"), F.col("lo0") + F.lit(span)).alias("lo"),
                 F.coalesce(F.expr("left - (e.upto - e.t)"), F.lit(0.0)).alias("left"),
             ),
             f"cut{level}",

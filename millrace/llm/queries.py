@@ -35,6 +35,18 @@ def p2_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(packing.fill_containers(_read(spark, sf, "sequences"), _read(spark, sf, "pack_limits")))
 
 
+def p2_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """What any good filling must keep: every position of every sequence once, no container above its capacity, whole sequences whole, containers near the bound by volume."""
+    seqs, limits = _read(spark, sf, "sequences"), _read(spark, sf, "pack_limits")
+    packed = packing.written(packing.fill_containers(seqs, limits), "filled")
+    items = packed.groupBy("pack_name", "capacity", "seq_id").agg(F.sum("length").alias("n"), F.count("*").alias("parts"), F.count_distinct("part_no").alias("places"))
+    right = items.join(packing.lengths(seqs), "seq_id").groupBy("pack_name", "capacity").agg(
+        F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.bool_and((F.col("n") == F.col("length")) & (F.col("parts") == F.col("places")) & (F.col("parts") == F.ceil(F.col("length") / F.col("capacity")))).alias("whole")
+    )
+    report = packing.fill_report(packed).select("pack_name", (F.col("fullest") <= F.col("capacity")).alias("fits"), (F.col("containers") <= F.col("least_containers") * 1.02 + 1).alias("near_bound"))
+    return right.join(report, "pack_name").select("pack_name", "sequences", "tokens", "whole", "fits", "near_bound")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.pairs_of(neardup.near_duplicates(_read(spark, sf, "documents")))
 
@@ -75,6 +87,16 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(planned, picked)
 
 
+def p7_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every target: whether the repeats keep their cap, and whether a reachable share is met to within a twentieth or one document."""
+    sizes, planned, picked = mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
+    longest = sizes.groupBy("source").agg(F.max("tokens").alias("longest"))
+    caps = planned.select("mix_name", "source", "max_repeats")
+    s = mixing.shares(planned, picked).join(caps, ["mix_name", "source"]).join(longest, "source", "left")
+    near = F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= F.greatest(F.col("longest"), F.col("target_tokens") * 0.05)
+    return s.select("mix_name", "source", (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"), (near | ~F.col("reachable")).alias("met"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(_read(spark, sf, "documents")).select("doc_id")
 
@@ -86,7 +108,7 @@ def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_defects, p1_rates, p2_found, p2_containers, p4_found, p4_classes, p5_found, p5_rates, p6_found, p6_items, p7_found, p7_shares, p8_found, p8_kept)
+    for f in (p1_found, p1_defects, p1_rates, p2_found, p2_containers, p2_valid, p4_found, p4_classes, p5_found, p5_rates, p6_found, p6_items, p7_found, p7_shares, p7_valid, p8_found, p8_kept)
 }
 
 #: Tokens are counted by a tokenizer in the query; every case of p7_found is clear by a factor near two, so characters decide alike.
@@ -96,6 +118,12 @@ SQL: dict[str, str] = {
           SELECT seq_id, max(CASE WHEN attention_mask IS NULL THEN coalesce(len(input_ids), 0) ELSE len(list_filter(attention_mask, lambda x: x = 1)) END) AS length
           FROM sequences WHERE seq_id IS NOT NULL GROUP BY seq_id)
         SELECT pack_name, seq_id FROM s JOIN pack_limits ON length > capacity""",
+    "p2_valid": """
+        WITH s AS (
+          SELECT seq_id, max(CASE WHEN attention_mask IS NULL THEN coalesce(len(input_ids), 0) ELSE len(list_filter(attention_mask, lambda x: x = 1)) END) AS length
+          FROM sequences WHERE seq_id IS NOT NULL GROUP BY seq_id)
+        SELECT pack_name, count(*) AS sequences, CAST(sum(length) AS BIGINT) AS tokens, true AS whole, true AS fits, true AS near_bound FROM s CROSS JOIN pack_limits WHERE length > 0 GROUP BY pack_name""",
+    "p7_valid": "SELECT mix_name, source, true AS capped, true AS met FROM mix_targets",
     "p7_found": """
         WITH d AS (SELECT source, sum(CASE WHEN trim(text) = '' THEN 0 ELSE coalesce(length(text), 0) END) AS n FROM documents GROUP BY source),
              a AS (SELECT sum(n) AS total FROM d)
