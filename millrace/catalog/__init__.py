@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["nested", "text", "advantages", "metrics", "arrays", "batch", "flows", "grading"]
+MODULES = ["nested", "text", "advantages", "metrics", "arrays", "batch", "flows", "grading", "dataset"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

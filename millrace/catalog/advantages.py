@@ -66,13 +66,10 @@ book.add(
 
 
 def _pairs(b: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     from millrace.operators.batch import positions
+    from millrace.operators.dataset import pair_preference
 
-    p = positions(b, "rid")
-    w = Window.partitionBy(F.floor(F.col("pos") / 2)).orderBy(F.desc("score"), "pos")
-    return p.select("rid", (F.row_number().over(w) == 1).alias("preferred"))
+    return pair_preference(positions(b, "rid"), "pos", "score").select("rid", "preferred")
 
 
 # ---- token recursions over the sequences table: tokens give rewards and values, the attention mask the mask

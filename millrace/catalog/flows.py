@@ -12,6 +12,7 @@ from millrace.catalog.advantages import BASE, base
 from millrace.catalog.base import Book, r9, read
 from millrace.functions import answers as A
 from millrace.operators import custom
+from millrace.operators import dataset as D
 from millrace.plans import curation
 from millrace.session import shared_folder
 from millrace.sources import readers, sinks
@@ -44,9 +45,9 @@ add("scan_normalised_samples", lambda s, f: readers.normalised_samples(read(s, f
 add("scan_normalised_all", lambda s, f: readers.normalised_samples(read(s, f, "eval_items").withColumn("idx", F.col("item_id")), "heldout", "idx"), "SELECT 'heldout_' || item_id AS id, question, answer FROM eval_items WHERE question <> ''")
 add("scan_lifted", lambda s, f: readers.lifted(read(s, f, "rl_records")).select("uid", "index", "score"), "SELECT uid, coalesce(extra_info.index, 0) AS index, 0.6::DOUBLE AS score FROM rl_records")
 add("scan_short_prompts", lambda s, f: readers.short_prompts(read(s, f, "rollouts").where("prompts is not null"), "prompts", 40).select("rollout_id"), r"SELECT rollout_id FROM rollouts WHERE prompts IS NOT NULL AND len(regexp_split_to_array(trim(prompts, ' '), '\s+')) <= 40")
-add("scan_messages", lambda s, f: read(s, f, "rl_records").select("uid", F.posexplode("prompt").alias("turn", "m")).select("uid", "turn", "m.role", "m.content"), "SELECT uid, CAST(unnest(range(len(prompt))) AS INT) AS turn, unnest(prompt).role AS role, unnest(prompt).content AS content FROM rl_records")
+add("scan_messages", lambda s, f: D.messages(read(s, f, "rl_records")), "SELECT uid, CAST(unnest(range(len(prompt))) AS INT) AS turn, unnest(prompt).role AS role, unnest(prompt).content AS content FROM rl_records")
 add("scan_page_texts", lambda s, f: readers.page_texts(read(s, f, "documents"), "doc_id", "text"))
-add("scan_generation", lambda s, f: read(s, f, "rollouts").where("uid is not null").groupBy("uid").agg(F.count("*").alias("n"), F.min("responses").alias("first_response")), "SELECT uid, count(*) AS n, min(responses) AS first_response FROM rollouts WHERE uid IS NOT NULL GROUP BY uid")
+add("scan_generation", lambda s, f: D.generations(read(s, f, "rollouts"), "uid", "responses"), "SELECT uid, count(*) AS n, min(responses) AS first_response FROM rollouts WHERE uid IS NOT NULL GROUP BY uid")
 
 
 def _jsonl(s, f):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.advantages import BASE, TOK, base, tokens
 from millrace.catalog.base import Book, r9, read
+from millrace.operators import dataset as D
 from millrace.operators import metrics as M
 
 book = Book(globals(), r="r", v="v", m="m", L="length")
@@ -67,7 +68,7 @@ add("metric_verification_f1", lambda s, f: M.verification_f1(base(s, f), F.col("
     SELECT data_source, tp, fp, fn, {rnd('p', 'precision')}, {rnd('r', 'recall')}, {rnd('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END', 'f1')} FROM p""")
 add("metric_rollup_sets", lambda s, f: M.rollup_sets(base(s, f), "data_source", {"n": F.count("*"), "mean_score": r9(F.avg("score"))}),
     f"{BASE} SELECT s AS data_source, count(*) AS n, {rnd('avg(score)', 'mean_score')} FROM (SELECT *, coalesce(data_source, 'unknown') AS s FROM b) GROUP BY ROLLUP (s)")
-add("metric_tool_success", lambda s, f: read(s, f, "tool_outputs").dropDuplicates(["output_id"]).groupBy("tool_name").agg(F.count("*").alias("calls"), r9(F.coalesce(F.avg((F.col("status") == "success").cast("double")), F.lit(1.0))).alias("rate")),
+add("metric_tool_success", lambda s, f: D.success_rate(read(s, f, "tool_outputs").dropDuplicates(["output_id"]), F.col("status") == "success", "tool_name").withColumn("rate", r9(F.col("rate"))),
     f"WITH t AS (SELECT DISTINCT output_id, tool_name, status FROM tool_outputs) SELECT tool_name, count(*) AS calls, {rnd(chr(97) + 'vg(CAST(status = ' + repr('success') + ' AS DOUBLE))', 'rate')} FROM t GROUP BY tool_name")
 add("metric_tool_success_by_rollout", lambda s, f: read(s, f, "tool_outputs").where("rollout_id is not null").select("output_id", "rollout_id", "status").distinct().join(base(s, f).select(F.col("rid").alias("rollout_id")), "rollout_id", "right").groupBy("rollout_id").agg(r9(F.coalesce(F.avg((F.col("status") == "success").cast("double")), F.lit(1.0))).alias("rate")),
     f"{BASE}, t AS (SELECT DISTINCT output_id, rollout_id, status FROM tool_outputs WHERE rollout_id IS NOT NULL) SELECT rid AS rollout_id, {rnd(chr(99)+'oalesce(avg(CAST(status = ' + repr('success') + ' AS DOUBLE)), 1.0)', 'rate')} FROM b LEFT JOIN t ON t.rollout_id = rid GROUP BY rid")
@@ -75,7 +76,7 @@ add("metric_score_spread", lambda s, f: M.spread(base(s, f), "score", ["data_sou
     f"{BASE} SELECT data_source, count(score) AS n, " + ", ".join(f"round({e}, 7) AS {a}" for e, a in (("sum(score)", "total"), ("avg(score)", "mean"), ("min(score)", "least"), ("max(score)", "most"), ("stddev_pop(score)", "std"), ("median(score)", "median"))) + " FROM b GROUP BY data_source")
 add("metric_tool_time", lambda s, f: M.spread(read(s, f, "tool_outputs").where("execution_time_ms >= 0").select("output_id", "tool_name", "execution_time_ms").distinct(), "execution_time_ms", ["tool_name"]).select("tool_name", "n", *[F.round(c, 5).alias(c) for c in ("total", "mean", "least", "most", "median")]),
     "WITH t AS (SELECT DISTINCT output_id, tool_name, execution_time_ms AS x FROM tool_outputs WHERE execution_time_ms >= 0) SELECT tool_name, count(x) AS n, " + ", ".join(f"round({e}, 5) AS {a}" for e, a in (("sum(x)", "total"), ("avg(x)", "mean"), ("min(x)", "least"), ("max(x)", "most"), ("median(x)", "median"))) + " FROM t GROUP BY tool_name")
-add("metric_slowest_call", lambda s, f: read(s, f, "tool_outputs").where("execution_time_ms >= 0").groupBy("tool_name").agg(F.max_by("output_id", F.struct("execution_time_ms", -F.col("output_id"))).alias("output_id"), F.max("execution_time_ms").alias("ms")),
+add("metric_slowest_call", lambda s, f: D.greatest_of(read(s, f, "tool_outputs").where("execution_time_ms >= 0"), "tool_name", "output_id", "execution_time_ms").withColumnRenamed("execution_time_ms", "ms"),
     "SELECT tool_name, output_id, execution_time_ms AS ms FROM (SELECT DISTINCT output_id, tool_name, execution_time_ms FROM tool_outputs WHERE execution_time_ms >= 0) QUALIFY row_number() OVER (PARTITION BY tool_name ORDER BY execution_time_ms DESC, output_id) = 1")
 add("metric_explained_variance", lambda s, f: M.explained_variance(read(s, f, "lineitem").withColumn("v", F.col("l_quantity") * 1000), "v", "l_extendedprice").select(F.round("explained_variance", 7).alias("explained_variance")),
     "SELECT round(1 - var_samp(l_extendedprice - l_quantity * 1000) / (var_samp(l_extendedprice) + 1e-5), 7) AS explained_variance FROM lineitem")

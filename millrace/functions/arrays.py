@@ -122,6 +122,18 @@ def is_clipped(old: Column, new: Column, adv: Column, low: float = 0.2, high: fl
     return -adv * clamp(ratio, 1 - low, 1 + high) > -adv * ratio
 
 
+def score_clip_loss(old: Column, new: Column, adv: Column, score: Column, clip: float = 0.2, low_score: float = 0.3, high_score: float = 0.8, bonus: float = 0.1) -> Column:
+    """Clipped policy loss whose upper bound grows by up to `bonus` as the sample's score falls from high_score to low_score."""
+    room = clip + clamp((high_score - score) / (high_score - low_score), 0, 1) * bonus
+    ratio = F.exp(new - old)
+    return F.greatest(-adv * ratio, -adv * F.greatest(F.lit(1 - clip), F.least(1 + room, ratio)))
+
+
+def dense_flops(tokens: Column, squares: Column, parameters: int, layers: int, heads: int, head_size: int) -> Column:
+    """Training operations of a dense decoder: 6 for each parameter and token, and 12 for each head's width, layer and pair of tokens of a sequence."""
+    return 6.0 * parameters * tokens + 12.0 * layers * heads * head_size * squares
+
+
 def gpg_loss(logp: Column, adv: Column) -> Column:
     return -logp * adv
 

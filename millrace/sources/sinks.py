@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -67,3 +67,29 @@ def nested_validation(df: DataFrame, source: str, prompt: str, reward: str, pred
     """Per source and prompt the samples with score, prediction and is_correct (score >= 0.5)."""
     s = F.struct(F.col(reward).alias("score"), F.col(pred).alias("prediction"), (F.col(reward) >= 0.5).alias("is_correct"))
     return df.groupBy(source, prompt).agg(F.array_sort(F.collect_list(s)).alias("samples"))
+
+
+def write_shards(df: DataFrame, path: str, shard: str) -> None:
+    """JSON lines, one folder for each shard."""
+    df.write.mode("overwrite").partitionBy(shard).json(path)
+
+
+def write_results(samples_: DataFrame, metrics: DataFrame, path: str) -> None:
+    """One result in three forms: all samples as JSON lines, the fixed sample columns and the metrics as CSV."""
+    samples_.write.mode("overwrite").json(f"{path}/results")
+    write_samples(samples_, f"{path}/samples")
+    metrics.write.mode("overwrite").option("header", True).csv(f"{path}/metrics")
+
+
+def track(df: DataFrame, path: str, step: str = "step") -> None:
+    """Appends metric rows (step, metric, value) to a log that a reader prunes by step."""
+    metric_rows(df, step).write.mode("append").partitionBy(step).parquet(path)
+
+
+def save_batch(df: DataFrame, path: str) -> None:
+    """A batch as Parquet; types and nested columns come back as they were."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_batch(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
