@@ -36,6 +36,7 @@ _MARKUP = re.compile(r"</?[A-Za-z][\w-]*\s*/?>|```\w*|\\boxed\{\s*\}|\\[()\[\]]|
 _THINK = re.compile(r"<think>.*?(?:</think>|\Z)", re.S)
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _INVISIBLE = re.compile("[\\s\u00ad\u200b-\u200f\u2028-\u202f\u2060\ufeff]+")
+_QUOTES = "\"“«„「`"
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“]*“|「[^」]*」|`[^`]*`")
 
 
@@ -113,7 +114,9 @@ def is_refusal(text: str) -> bool:
     or speaks of the request.
     """
     body = without_thought(text)
-    body = _QUOTED.sub(" ", body if body.strip() else text)
+    body = body if body.strip() else text
+    if any(c in body for c in _QUOTES):
+        body = _QUOTED.sub(" ", body)
     *opening, rest = (_SENTENCES.split(body.strip(), 2) + [""])[:3]
     if _ANSWER.search(rest) or _MARKED.search(body):
         return False
@@ -133,14 +136,27 @@ def is_refusal(text: str) -> bool:
 COPY_WINDOW = 12
 #: Characters at the end that are looked at first.
 LOOK = 400
+#: Characters in which the last word is looked for.
+LAST = 60
 COPY_COVER = 0.7
 COPY_EXTRA = 0.04
 #: Words that may lead in a copy ("You asked: ...").
 COPY_LEAD = 5
 
 
+def ends_otherwise(prompt: str, text: str) -> bool:
+    """Whether the last word of a text is surely none of the prompt's: a copy ends with one.  Told for plain texts only."""
+    end = text[-LAST:]
+    if "&" in end or "<" in end or "&" in prompt or not (end.isascii() and prompt.isascii()):
+        return False
+    words = T.WORD.findall(end.lower())
+    return len(words) > 1 and words[-1] not in prompt.lower()
+
+
 def is_copy(prompt: str, text: str) -> bool:
     """Gives back the prompt, whole or nearly so, once or again and again, and nothing else."""
+    if ends_otherwise(prompt, text):
+        return False
     p, known = prompt_words(prompt)
     if len(p) < 4:
         return False
@@ -149,10 +165,10 @@ def is_copy(prompt: str, text: str) -> bool:
         end = text[-LOOK:]
         end = T.words(T.strip_markup(end[end.find(" ") + 1 :]))[1:]
         most = len(text) // 2 + 1 if text.isascii() else len(text)
-        if sum(w not in known for w in end) > max(1, COPY_EXTRA * most) + COPY_LEAD:
+        if len(end) - sum(map(known.__contains__, end)) > max(1, COPY_EXTRA * most) + COPY_LEAD:
             return False
     r = T.words(T.strip_markup(text))
-    if len(r) < COPY_COVER * len(p) or sum(w not in known for w in r) > max(1, COPY_EXTRA * len(r)) + COPY_LEAD:
+    if len(r) < COPY_COVER * len(p) or len(r) - sum(map(known.__contains__, r)) > max(1, COPY_EXTRA * len(r)) + COPY_LEAD:
         return False
     lead = next((i for i, w in enumerate(r[: COPY_LEAD + 1]) if w in p[:3]), 0)
     r = r[lead:]
@@ -207,26 +223,40 @@ _SCRIPTS = [
 ]
 LEAST_PROSE = 4
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]+")
-_FORMULA = re.compile(r"\$[^$]*\$|\\[a-zA-Z]+(?:\{[^{}]*\})*|\b\w+\s*=\s*[\w.]+")
+_FORMULA = re.compile(r"\$[^$]*\$|\\[a-zA-Z]+(?:\{[^{}]*\})*")
+_VALUE = re.compile(r"\s*[\w.]+")
 
 
-_ENGLISH = (" the ", " of ", " and ", " its ", " with ", " is ")
-_NOT_ENGLISH = (" de ", " la ", " le ", " el ", " der ", " die ", " und ", " que ", " en ", " del ", " des ", " di ", " het ", " een ", " da ", " il ")
-
+def without_formulas(text: str) -> str:
+    """The text without formulas, commands and assignments (`x = 3`)."""
+    if "$" in text or "\\" in text:
+        text = _FORMULA.sub(" ", text)
+    if "=" not in text:
+        return text
+    left, *rest = text.split("=")
+    out = []
+    for right in rest:
+        word = left.rstrip()
+        k = len(word)
+        while k and (word[k - 1].isalnum() or word[k - 1] == "_"):
+            k -= 1
+        value = _VALUE.match(right)
+        if k < len(word) and value:
+            out.append(word[:k])
+            left = " " + right[value.end() :]
+        else:
+            out.append(left + "=")
+            left = right
+    return "".join(out) + left
 
-def _plainly_english(text: str) -> bool:
-    """Several frequent English words and no frequent word of another language: the scores need not be counted."""
-    return sum(map(text.count, _ENGLISH)) >= 3 and not any(w in text for w in _NOT_ENGLISH)
 
 
 def language_of(text: str) -> str | None:
     """The language of a prose text; null if there is too little prose to tell."""
     if "`" in text:
         text = _FENCE.sub(" ", text)
-    if text.isascii() and _plainly_english(text):
-        return "en"
     if "<" in text or "\\" in text or "$" in text or "=" in text:
-        text = _FORMULA.sub(" ", _MARKUP.sub(" ", text))
+        text = without_formulas(_MARKUP.sub(" ", text))
     ascii_only = text.isascii()
     latin = _LATIN.findall(text.lower())
     if not ascii_only:
@@ -239,8 +269,8 @@ def language_of(text: str) -> str | None:
     if len(latin) < LEAST_PROSE:
         return None
     score: Counter = Counter()
-    for w in latin:
-        for k in _STOP.get(w, ()):
+    for known in filter(None, map(_STOP.get, latin)):
+        for k in known:
             score[k] += 1
     if not ascii_only:
         for k, p, worth in _LETTERS:
@@ -276,15 +306,11 @@ def _names_a_language(prompt: str) -> bool:
 
 def asked_languages(prompt: str) -> set[str]:
     """The languages a prompt asks the reply to be in."""
-    if not _names_a_language(prompt):
-        return set()
     return {k for m in _REQUEST.finditer(prompt) for k, v in m.groupdict().items() if v}
 
 
 def without_requests(prompt: str) -> str:
     """The prompt without the sentences that ask for a language."""
-    if not _names_a_language(prompt):
-        return prompt
     return "".join(m.group() for m in _REQUEST_SENTENCE.finditer(prompt) if not _REQUEST.search(m.group()))
 
 
@@ -303,6 +329,8 @@ def after_restating(prompt: str, text: str) -> str:
 @lru_cache(maxsize=20_000)
 def prompt_languages(prompt: str) -> tuple[str | None, frozenset[str]]:
     """(the prompt's own language, the languages it asks for)."""
+    if not _names_a_language(prompt):  # then no request is found
+        return language_of(prompt), frozenset()
     return language_of(without_requests(prompt)) or language_of(prompt), frozenset(asked_languages(prompt))
 
 
@@ -316,7 +344,7 @@ def is_other_language(prompt: str, text: str) -> bool:
     said = language_of(body)
     if said is None:
         thought = " ".join(m.group() for m in _THINK.finditer(rest))
-        said = language_of(thought) if len(_LATIN.findall(_FENCE.sub(" ", _FORMULA.sub(" ", body)))) < 2 * LEAST_PROSE else None
+        said = language_of(thought) if len(_LATIN.findall(_FENCE.sub(" ", without_formulas(body)))) < 2 * LEAST_PROSE else None
     return said is not None and said != own and said not in asked
 
 

@@ -39,6 +39,7 @@ from hashlib import blake2b
 from string import ascii_letters
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ from millrace.session import small_side, written
 
 #: Closings of more characters are counted under their hash.
 LONG = 40
+HASHED = "\x01"
 SHINGLE = 5
 #: Length of the first segments, and min-hash bands of one row each.
 SEGMENT, BANDS = 8, 3
@@ -116,12 +118,16 @@ def _open_tail(t: str) -> bool:
 def closing(segment: str) -> str:
     """The masked closing; a long one as its hash, which is counted like any other."""
     tail = _DIGITS.sub("9", segment.lower())
-    return tail if len(tail) <= LONG else "#" + blake2b(tail.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    return tail if len(tail) <= LONG else HASHED + blake2b(tail.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
 def kind_of(segments: list[str]) -> str:
     """Lines that are alike: items or prose of the same number of words in powers of two, or (s) prose with a sentence before the last segment."""
-    return "s" if len(segments) > 1 else ("i" if _ITEM.match(segments[0]) else "p") + str(len(T.WORD.findall(segments[0])).bit_length())
+    return "s" if len(segments) > 1 else ("i" if _ITEM.match(segments[0]) else "p") + str(_n_words(segments[0]).bit_length())
+
+
+def _n_words(line: str) -> int:
+    return len(line.split()) if line.isascii() else len(T.WORD.findall(line))
 
 
 def segments_of(line: str) -> list[str]:
@@ -133,7 +139,8 @@ def end_of(text: str | None) -> tuple[int, str, str, list[tuple[str, str]], str,
     if text is None or not text.strip():
         return EMPTY, "", "", [], "", False
     t = text.rstrip()
-    if MARK.search(t):
+    # a mark ends with one of these signs; a single full stop is none
+    if t[-1] in "…�" or t.endswith("...") or (t[-1] in "])>}" and MARK.search(t)):
         return CUT, "", "", [], "", False
     if t[0] in "{[":
         try:
@@ -146,7 +153,8 @@ def end_of(text: str | None) -> tuple[int, str, str, list[tuple[str, str]], str,
     if _unclosed(t) or _open_tail(t):
         return CUT, "", "", [], "", False
     lines = [x for x in t.split("\n") if x.strip()]
-    if len(lines) > 1:
+    # where both last lines end with a mark, neither pattern below can hold
+    if len(lines) > 1 and (" | " in lines[0] or t[-1] not in _MARKS or lines[-2].rstrip()[-1] not in _MARKS):
         if " | " in lines[0]:
             if lines[-1].count("|") != lines[0].count("|") or not lines[-1].rsplit("|", 1)[1].strip():
                 return CUT, "", "", [], "", False
@@ -165,7 +173,9 @@ def end_of(text: str | None) -> tuple[int, str, str, list[tuple[str, str]], str,
     seg = _SENTENCE.split(lines[-1])[-1].strip() or lines[-1]
     marked = t[-1] in _MARKS
     if marked or _ENDS.search(t):
-        return WHOLE, "E", closing(seg), [], lines[-1], not (marked or _DONE.search(t)) or _ITEM.match(lines[-1]) is not None
+        # a long closing with a mark equals no closing without one and begins none that is counted by its letters
+        tail = _DIGITS.sub("9", seg.lower())
+        return WHOLE, "E", tail if len(tail) <= LONG else "", [], lines[-1], not (marked or _DONE.search(t)) or _ITEM.match(lines[-1]) is not None
     return ASK, "E1" if seg == t.strip() else "E", closing(seg), [], lines[-1], True
 
 
@@ -183,7 +193,7 @@ def segment_counts(text: str, opens: Counter, lines: Counter, closers: list[str]
             continue
         for x in parts:
             w = x.split(None, 1)[0]
-            opens[_DIGITS.sub("9", w.lower()) if len(w) <= LONG else ""] += 1
+            opens[w.lower() if w.isalpha() and len(w) <= LONG else _DIGITS.sub("9", w.lower()) if len(w) <= LONG else ""] += 1
         end = parts[-1].rstrip()
         marked = end[-1] in _MARKS or _ENDS.search(end) is not None
         closers += [x.rsplit(None, 1)[-1] for x in parts[:-1]]
@@ -246,13 +256,20 @@ _NUMBER = T.word_hashes(["9"])[0]
 def word_counts(h: np.ndarray, numbers: int, closers: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, occurrences, of these at the end of a complete segment); numbers are one word."""
     e = last_words(closers)
-    u, n = np.unique(np.concatenate((h, e, _NUMBER)), return_counts=True)
-    ends = np.bincount(np.searchsorted(u, e), minlength=len(u))
-    n -= ends
-    n[np.searchsorted(u, _NUMBER)] += numbers - 1
+    codes, u = pd.factorize(np.concatenate((_NUMBER, e, h)))
+    ends = np.bincount(codes[1 : len(e) + 1], minlength=len(u))
+    n = np.bincount(codes[len(e) + 1 :], minlength=len(u))
+    n[0] += numbers
     return u, n, ends
 
 
+def count_numbers(texts: list[str | None]) -> int:
+    """Runs of digits in all texts."""
+    b = np.frombuffer("\n".join(t for t in texts if t).encode("utf-8", "surrogatepass"), np.uint8)
+    digit = (b >= 48) & (b <= 57)
+    return int(digit[:1].sum() + (digit[1:] & ~digit[:-1]).sum())
+
+
 def evidence(df: DataFrame, field: str, row_id: str, text: str, group: str, exempt: str | None = None, rules: Callable[[str | None, str | None], list[str]] | None = None) -> DataFrame:
     """One pass over the texts: a row for each value (kind v) with what the rules find in (exempt, text), and counts of inner closings (c), openings (o), complete lines (l) and words (w)."""
 
@@ -274,7 +291,7 @@ def evidence(df: DataFrame, field: str, row_id: str, text: str, group: str, exem
             h, o = T.word_hashes(texts)
             r, ro = T.shingle_hashes(h, o, SHINGLE)
             keys, ko = band_keys(r, ro)
-            w, wn, we = word_counts(h, sum(len(_DIGITS.findall(t)) for t in texts if t), closers)
+            w, wn, we = word_counts(h, count_numbers(texts), closers)
             doubt = [segments_of(e[4]) if e[0] == ASK else [] for e in ends]
             n, ni, no, nl = len(ends), len(inner), len(opens), len(lines)
             rest = ni + no + nl + len(w)
@@ -344,7 +361,7 @@ def closing_scores(ev: DataFrame) -> DataFrame:
     known = ends.join(inner, key, "full").fillna(0, ["n_end", "n_inner"]).fillna(False, ["doubt"])
     known = written(known.withColumn("n_all", F.col("n_end") + F.col("n_inner")), "closings")
     longer = (
-        known.where("tail not like '#%'")
+        known.where(~F.startswith("tail", F.lit(HASHED)))
         .select("field", "c", "n_all", "n_inner", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("tail") - 1, F.lit(1))), lambda k: F.col("tail").substr(F.lit(1), k))).alias("p"), "tail")
         .where("p <> tail").groupBy("field", "c", F.col("p").alias("tail")).agg(F.sum("n_all").alias("n_longer"), F.sum("n_inner").alias("n_longer_inner"))
     )

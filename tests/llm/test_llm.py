@@ -138,12 +138,15 @@ def test_copy_look_changes_nothing():
         for _ in range(rnd.randint(0, 12)):
             w[rnd.randrange(len(w))] = rnd.choice(WORDS)
         cases.append((p, " ".join(w + [rnd.choice(WORDS) for _ in range(rnd.choice([0, 0, 1, 5, 40]))])))
+    cases += [(p, f"{t} <br> {p.split()[0]}") for p, t in cases[:20]] + [(p, t + " &amp;") for p, t in cases[:20]]
     quick = [pairs.is_copy(p, t) for p, t in cases]
+    last = pairs.ends_otherwise
     try:
         pairs.LOOK = 10**9
+        pairs.ends_otherwise = lambda p, t: False
         assert quick == [pairs.is_copy(p, t) for p, t in cases] and 20 < sum(quick) < 280
     finally:
-        pairs.LOOK = old
+        pairs.LOOK, pairs.ends_otherwise = old, last
 
 
 @pytest.mark.parametrize(
