@@ -16,7 +16,8 @@ def spread_join(a: DataFrame, b: DataFrame, keys: list[str], rows: int = SALT_RO
 
     Keys are counted by a map-side combined aggregate.  Null keys meet nothing.
     """
-    salts, salt = one_name(a, "salts"), one_name(b, "salt")
+    both = a.select("*", *[F.lit(None).alias(c) for c in b.columns if c not in a.columns])
+    salts, salt = one_name(both, "salts"), one_name(both, "salt")
     n = b.groupBy(*keys).agg(F.count("*").alias(salts)).where(F.col(salts) > rows).withColumn(salts, F.ceil(F.col(salts) / rows).cast("int"))
     side = small_side(written(n, "hot"))
     left = a.join(side, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)

@@ -222,6 +222,10 @@ def _no_constant(name: str) -> Any:
     raise ValueError(name)
 
 
+#: Records that are opened at a time.
+SLICE = 1_000
+
+
 def nested_nodes(
     df: DataFrame,
     record: str,
@@ -241,7 +245,7 @@ def nested_nodes(
     paths = dict(tables)
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             parsed, rows_at, bad = [], [], []
             for i, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 if text is None:

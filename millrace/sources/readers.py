@@ -105,13 +105,14 @@ class _Text(html.parser.HTMLParser):
             self.out.append(data)
 
 
-def html_text(page: str, links: bool = False, most: int = 20_000) -> str:
+def html_text(page: str, links: bool = False, most: int | None = None) -> str:
+    """The visible text; with most, so many characters of it."""
     p = _Text(links)
     p.feed(page)
     return re.sub(r"[ \t]+", " ", re.sub(r"\s*\n\s*", "\n", "".join(p.out))).strip()[:most]
 
 
-def page_texts(df: DataFrame, key: str, page: str, links: bool = False, most: int = 20_000) -> DataFrame:
+def page_texts(df: DataFrame, key: str, page: str, links: bool = False, most: int | None = None) -> DataFrame:
     """(key, text): the visible text of stored pages; null pages give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -201,3 +201,57 @@ def test_recursions_are_linear(spark):
 
     seconds(100)
     assert seconds(60_000) < 12 * max(seconds(6_000), 0.5)
+
+
+def test_written_tables_have_an_owner(spark):
+    from millrace.session import tables_folder, written
+
+    df = written(spark.range(3), "owned")
+    assert spark.sparkContext.applicationId in tables_folder(spark) and all(tables_folder(spark).split("://")[-1] in f for f in df.inputFiles())
+
+
+def test_roll_up_by_ranks(spark):
+    """Expectations of the best and worst of n draws against all draws with replacement."""
+    from itertools import product
+
+    from millrace.operators import metrics
+
+    x = [0.1, 0.9, 0.4, 0.4, 0.7]
+    df = spark.createDataFrame([("s", "p", v) for v in x] + [("s", "q", 0.5), ("s", "q", None), ("t", "r", 1.0)], "s string, p string, v double")
+    got = {(r.s, r.metric): r.value for r in metrics.validation_rollup(df, "s", "p", "v").collect()}
+    for k in (2, 4, 5):
+        draws = list(product(x, repeat=k))
+        assert abs(got["s", f"best@{k}"] - sum(map(max, draws)) / len(draws)) < 1e-9 and abs(got["s", f"worst@{k}"] - sum(map(min, draws)) / len(draws)) < 1e-9
+    assert abs(got["s", "mean@5"] - sum(x) / 5) < 1e-9 and got["s", "mean@1"] == 0.5 and got["t", "mean@1"] == 1.0 and ("t", "std@1") not in got
+    assert metrics.validation_rollup(df.limit(0), "s", "p", "v").count() == 0
+
+
+def test_dataset_records(spark):
+    from millrace.operators import dataset as D
+
+    m = spark.sql("SELECT array(struct('user' AS role, 'a' AS content), struct('assistant' AS role, 'b' AS content), struct('user' AS role, '#### 4' AS content)) AS p, array() AS e, CAST(null AS array<struct<role:string,content:string>>) AS n")
+    assert m.select(D.last_user_answer(F.col("p"))).first()[0] == "#### 4" and m.select(D.last_user_answer(F.col("n"))).first()[0] == "#### "
+    t = values(spark, D.alternating, ("a<interpreter>4</interpreter> b<interpreter> </interpreter>",), ("",))
+    assert [(x.role, x.content) for x in t[0]] == [("assistant", "a"), ("tool", "4"), ("assistant", "b")] and t[1] == []
+    one = values(spark, lambda w: D.counted_letters(w, F.lit("b")), ("abb",))[0]
+    assert one == "a != b.\nb = b.\nb = b.\n\\boxed{2} b in a-b-b."
+    q = [values(spark, lambda a: D.with_choices(F.lit("Q"), a, F.array(F.lit("x"), F.lit("y")), a, s), ("right",))[0] for s in (1, 1, 2, 3, 4, 5)]
+    assert q[0] == q[1] and len({x.letter for x in q}) > 1 and all(f"{x.letter}) right" in x.prompt for x in q)
+    df = spark.createDataFrame([(1, "x")], "rid long, uid string")
+    assert D.checked(df, df.schema, "rid").count() == 1
+    with pytest.raises(ValueError, match="score"):
+        D.checked(df, spark.createDataFrame([(1, 0.5)], "rid long, score double").schema, "rid")
+    with pytest.raises(Exception, match="null rid"):
+        D.checked(spark.createDataFrame([(None, "x")], "rid long, uid string"), df.schema, "rid").collect()
+    c = spark.createDataFrame([([1, 2, 3], [4, 5, 6])], "p array<int>, r array<int>").select(D.composed(F.col("p"), F.col("r"), 5, 2, 0).alias("x")).first().x
+    assert (c.ids, c["mask"], c.positions) == ([0, 0, 1, 2, 3, 4, 5], [0, 0, 1, 1, 1, 1, 1], [0, 0, 0, 1, 2, 3, 4])
+
+
+def test_dense_search_ties(spark):
+    from millrace.operators import retrieval
+
+    rows = [(i, [1.0, 0.0]) for i in range(6)] + [(9, [0.0, 1.0]), (10, None), (11, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = retrieval.dense_topk(df.where("vec_id = 3"), df, 4).orderBy("rank").collect()
+    assert [(r.rank, r.key) for r in got] == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert retrieval.dense_topk(df.where("vec_id = 3"), df, 0).count() == 0 and retrieval.dense_topk(df.limit(0), df, 3).count() == 0
