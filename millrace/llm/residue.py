@@ -142,14 +142,16 @@ NOTICE = re.compile(
     | \bdown\ for\ maintenance\b | \b(?:under|scheduled)\ maintenance\b | \bdid\ not\ (?:answer|respond)\b | \bleads\ nowhere\b | \btaken\ down\b | \bblocked\ in\ your\b | \bmembers\ only\b | \bvalid\ login\b | \bdaily\ quota\b
     | \bmoved\ elsewhere\b | \bhas\ (?:been\ )?moved\b | \bno\ longer\ (?:exists?|available|here|valid)\b | \bgone\ for\ good\b | \b(?:could|can)\ ?not\ be\ (?:loaded|displayed|shown|found|reached|opened|served|processed)\b
     | \b{_THING}\b[^.\n]{{0,40}}\b(?:unavailable|missing|removed|deleted|expired|does\ not\ exist|unreachable|restricted|offline|suspended|disabled|private)\b
-    | \bcouldn['’]?t\ (?:find|load|reach|open|display)\b | \bsomething\ went\ wrong\b | \b(?:an|unexpected|unknown)\ error\b | \btimed?\ out\b | \bsession\b[^.\n]{{0,20}}\bexpired\b | \bconnection\b[^.\n]{{0,40}}\b(?:reset|refused|closed|lost)\b
+    | \bcouldn['’]?t\ (?:find|load|reach|open|display)\b | \bsomething\ went\ wrong\b | (?<!raises\ )(?<!raise\ )(?<!throws\ )(?<!throw\ )(?<!returns\ )(?<!gives\ )\b(?:an|unexpected|unknown)\ error\b | \btimed?\ out\b | \bsession\b[^.\n]{{0,20}}\bexpired\b | \bconnection\b[^.\n]{{0,40}}\b(?:reset|refused|closed|lost)\b
     | \bdns\ lookup\b | \breturned\ nothing\b | \bif\ nothing\ happens\b | \bchecking\ your\ browser\b | \bverify\ (?:that\ )?you\ are\b | \bcaptcha\b | \b(?:are|you)\ (?:a\ )?(?:human|robot)\b | \bticking\ the\ box\b | \byour\ browser\b | \bbackend\b
     | ^\s*fatal:\s | \b(?:pool|memory|disk|quota)\ exhausted\b | \bsee\ log\b | \bswitch\ it\ on\b | \b(?:reload|refresh)\ (?:the\ )?(?:page|and)\b | \band\ (?:reload|refresh)\b
     | \btraceback\ \(most\ recent | ^\s*\w*(?:error|exception):\s | ^\s*file\ "[^"]+",\ line\ \d+ | \bstatus=\d+ | \breason=\w+ | "error"\s*: | \b(?:log|sign)\ ?in\ to\ (?:view|continue|see)\b | \brate\ limit
     | \b(?:seite|inhalt|datei|eintrag|dokument)\b[^.\n]{{0,30}}\b(?:nicht\ (?:gefunden|verfügbar|erreichbar)|existiert\ nicht|gesperrt)\b | \bfehler\ (?:beim|ist|\d) | \bzugriff\ verweigert\b | \bbitte\ (?:aktivieren|versuchen)\b | \bein\ fehler\b
     | \bpage\ (?:introuvable|non\ trouvée)\b | \bune\ erreur\b | \bveuillez\ (?:activer|réessayer|patienter)\b | \baccès\ (?:refusé|interdit)\b | \bcontenu\ (?:indisponible|introuvable)\b | \bservice\ indisponible\b
     | \bpágina\ no\ (?:encontrada|disponible)\b | \b(?:ha\ ocurrido|se\ produjo)\ un\ error\b | \bacceso\ (?:denegado|restringido|prohibido)\b | \b(?:active|habilite|activa)\ javascript\b | \bservicio\ no\ disponible\b | \binténtelo\ (?:de\ nuevo|más\ tarde)\b
-    | \b(?:sitzung|anmeldung|zugang|konto|portal|dienst|website|webseite)\b[^.\n]{{0,40}}\b(?:abgelaufen|gesperrt|deaktiviert|nicht\ (?:verfügbar|erreichbar|möglich))\b | \bbitte\ melden\ sie\ sich\b | \bwartungsarbeiten\b
+    | \bnot\ available\ (?:in|from|for)\ your\b | \bsecurity\ (?:check|verification)\b | \bad[-\ ]?block(?:er|ing)?s?\b | \bmoved\ (?:permanently|temporarily)\b | \bcan['’]t\ be\ (?:loaded|displayed|shown|found|reached|opened|served)\b
+    | \bjust\ a\ moment\b | \bchecking\ (?:if|whether|your|the)\b[^.\n]{{0,40}}\b(?:secure|browser|connection)\b | \bn['’]existe\ (?:plus|pas)\b | \bpágina\b[^.\n]{{0,30}}\bno\ existe\b | 请先登录
+    | \b(?:sitzung|anmeldung|zugang|konto|portal|dienst|server|website|webseite)\b[^.\n]{{0,40}}\b(?:abgelaufen|gesperrt|deaktiviert|nicht\ (?:verfügbar|erreichbar|möglich))\b | \bbitte\ melden\ sie\ sich\b | \bwartungsarbeiten\b
     | \b(?:session|compte|accès|site|page)\b[^.\n]{{0,40}}\b(?:expirée?|suspendue?|bloquée?|désactivée?)\b | \bmaintenance\ en\ cours\b | \bconnectez-vous\b
     | \b(?:sesión|cuenta|acceso|sitio|página|servicio)\b[^.\n]{{0,40}}\b(?:caducad[oa]|expirad[oa]|suspendid[oa]|bloquead[oa]|desactivad[oa])\b | \binicie\ sesión\b | \ben\ mantenimiento\b
     | \bpagina\ non\ (?:trovata|disponibile|esiste)\b | \bsi\ è\ verificato\ un\ errore\b | \baccesso\ (?:negato|vietato|sospeso)\b | \b(?:abilitare|abilita|attivare|attiva)\ (?:javascript|i\ cookie)\b | \b(?:sessione|account)\b[^.\n]{{0,30}}\bscadut[oa]\b | \bservizio\ non\ disponibile\b | \briprova(?:re)?\ più\ tardi\b
@@ -166,13 +168,13 @@ _NOTICE_SIGNS = (
     "private", "couldn", "went wrong", "timed out", "time out", "connection", "dns lookup", "returned nothing", "if nothing happens", "your browser", "verify ", "captcha", "human", "robot", "ticking the box", "backend", "fatal:", "exhausted",
     "see log", "switch it on", "reload", "refresh", "traceback", "exception", 'file "', "reason=", "in to ", "rate limit", "nicht ", "existiert", "gesperrt", "fehler", "verweigert", "bitte ", "introuvable", "non trouvée", "erreur", "veuillez",
     "accès", "indisponible", "página no", "acceso", "servicio no", "inténtelo", "服务器", "页面", "请", "访问", "无法", "不能", "找不到", "网络", "浏览器", "验证码", "加载失败",
-    "abgelaufen", "deaktiviert", "wartungsarbeiten", "expiré", "suspend", "bloqué", "désactivé", "connectez-vous", "caducad", "expirad", "bloquead", "desactivad", "inicie sesión", "mantenimiento",
+    "not available", "security ", "block", "t be ", "just a moment", "checking ", "existe", "abgelaufen", "deaktiviert", "wartungsarbeiten", "expiré", "suspend", "bloqué", "désactivé", "connectez-vous", "caducad", "expirad", "bloquead", "desactivad", "inicie sesión", "mantenimiento",
     "pagina non ", "errore", "accesso ", "abilita", "attiva", "scadut", "servizio non", "riprova", "página não", "ocorreu um", "acesso ", "ative ", "habilite", "sessão", "serviço ind", "tente novamente", "niet gevonden", "geweigerd", "fout opgetreden", "verlopen",
 )
-_ADDITION_SIGNS = ("retry after", "try again", "reference", "nginx", "apache", "openresty", "cloudflare", "varnish", "the address", "ray ", "if this persists", "return to the", "go back", "request id", "please wait")
-#: Words that may be the topic of a text; in a long body such a sentence is a notice only if it also asks or tells for something.
+_ADDITION_SIGNS = ("retry after", "try again", "reference", "nginx", "apache", "openresty", "cloudflare", "varnish", "the address", "ray ", "if this persists", "return to the", "go back", "torna alla", "zurück zur", "retour à", "volver ", "voltar ", "返回首页", "request id", "please wait")
+#: Words that may be the topic of a text; such a sentence is a notice only if it also asks or tells for something.
 _TOPIC = re.compile(r"java\s?script|js|scripts?|scripting|cookies?", re.I)
-_ASKS = re.compile(r"\b(?:please|enable[sd]?|allow(?:ed)?|accept(?:ed)?|turn(?:ed)?\ on|switch(?:ed)?\ on|activated?|disabled|blocked|requires?|required|needed|must|your|we\ (?:use|set|store)|this\ (?:site|page|website|form)|browser)\b", re.I | re.X)
+_ASKS = re.compile(r"\b(?:please|enable[sd]?|allow(?:ed)?|accept(?:ed)?|turn(?:ed)?\ on|switch(?:ed)?\ on|activated?|disabled|blocked|requires?|required|needed|must|without|off|permit(?:s|ted)?|proceed|continue|reload|refresh|habilit\w+|activ\w+|aktivier\w+|autoris\w+|accett\w+|acept\w+|abilit\w+|your|we\ (?:use|set|store)|this\ (?:site|page|website|form)|browser)\b", re.I | re.X)
 #: Printed stacks: from the head line over the indented lines to the line of the error.
 _STACK = re.compile(r"^[ \t]*Traceback \(most recent call last\):[^\n]*(?:\n[ \t]+\S[^\n]*|\n[ \t]*(?=\n))*(?:\n[\w.]*(?:Error|Exception|Interrupt|Exit)\b[^\n]*)?|(?:^[ \t]+at [\w.$<>/]+\([^()\n]*\)[ \t]*(?:\n|\Z))+", re.M)
 #: Least share of a body's characters that are sentences of a notice.
@@ -180,7 +182,7 @@ NOTICE_SHARE = 0.6
 #: Standing additions of error pages, set aside before the body is judged.
 ADDITION = re.compile(
     r"retry after \d+ s\.?|(?:please )?try again(?: later)?\.?|reference:? (?:id:? )?[0-9a-f]{4,}\.?|nginx(?:-like)? ?[\d.]*|(?:apache|openresty|cloudflare|varnish)\S* ?[\d.]*|the address \S+ has no entry\.?|"
-    r"ray (?:id:? )?[0-9a-f]{4,}(?: at node \w+)?\.?|if this persists,? contact [\w ]+\.?|return to the (?:start|home) ?page\.?|go back(?: home)?\.?|request id:? \S+|please wait\b\.*",
+    r"ray (?:id:? )?[0-9a-f]{4,}(?: at node \w+)?\.?|if this persists,? contact [\w ]+\.?|return to the (?:start|home) ?page\.?|go back(?: home)?\.?|torna alla (?:pagina iniziale|home)\.?|zurück zur startseite\.?|retour à l['’]accueil\.?|vol(?:ver|tar) (?:al inicio|a la página principal|ao início)\.?|返回首页。?|request id:? \S+|please wait\b\.*",
     re.I,
 )
 _NAV_LINE = re.compile(r"^\s*(?:[^\W\d_][\w-]*(?: [\w-]+)?\s*[|/·•›>]\s*)+[^\W\d_][\w-]*(?: [\w-]+)?\s*$|^\s*[#*\-•]*\s*[^\W\d_][\w-]*(?: [\w-]+){0,2}\s*$", re.M)
@@ -288,9 +290,8 @@ def _is_no_notice(body: str, low: str) -> bool:
 
 
 def _is_notice_sentence(s: str, long: bool) -> bool:
-    if not long:
-        return NOTICE.search(s) is not None
-    if _REPORTS.search(s):
+    """Whether a sentence has a sign of a notice; a mere topic (scripts, cookies) needs something that is asked or told beside it."""
+    if long and _REPORTS.search(s):
         return False
     return any(not _TOPIC.fullmatch(m.group()) or _ASKS.search(s) for m in NOTICE.finditer(s))
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, mixing, neardup, packing, pairs, residue, truncation
+from millrace.llm import leakage, mixing, neardup, packing, pairs, queries, residue, truncation
 from millrace.llm import tokens as T
+from tests.test_oracle import rows
 
 WORDS = [f"w{i}" for i in range(4_000)]
 
@@ -23,6 +26,15 @@ def read(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_rows_as_sql(spark, sf, name):
+    """Every query of the subpackage that has SQL gives the same rows in DuckDB."""
+    c = duckdb.connect()
+    for f in os.listdir(sf):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf}/{f}'")
+    assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(c.execute(queries.SQL[name]).df())
+
+
 # ---- tokens
 
 
@@ -586,6 +598,36 @@ def test_residue_follows_long_chains(spark):
     assert {r.doc_id for r in residue.residue(df, hops=2).collect()} == {0, 1, 2}
 
 
+#: Notices and texts in words of their own, in several languages.
+UNSEEN_NOTICES = [
+    "Your access to this portal has been suspended by the administrator.", "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an.", "Pagina non trovata. Torna alla pagina iniziale.",
+    "We're sorry, the page you requested does not exist.", "Error 500: internal server error", "This video is not available in your country.", "Please complete the security check to access the site.",
+    "To continue, turn off your ad blocker.", "You need to log in to see this content.", "Session timed out, please sign in again.", "Diese Seite existiert nicht mehr.",
+    "Der Server ist vorübergehend nicht erreichbar.", "Bitte aktivieren Sie JavaScript in Ihrem Browser.", "Cette page n'existe plus.", "Votre session a expiré, veuillez vous reconnecter.",
+    "Veuillez activer les cookies pour continuer.", "La página solicitada no existe.", "Su sesión ha caducado.", "Debe habilitar las cookies para continuar.",
+    "页面已被删除", "请先登录后查看", "您的浏览器不支持脚本", "系统繁忙，请稍后再试", "HTTP 403 Forbidden", "Connection refused", "Too many requests. Slow down.", "The requested URL was not found on this server.",
+    "Object moved permanently.", "This site can't be reached", "502 Bad Gateway", "We use cookies to improve your experience. Accept all cookies.", "Just a moment... Checking if the site connection is secure",
+    "Página não encontrada", "Ocorreu um erro inesperado.", "Loading... Please enable scripts.",
+]
+UNSEEN_TEXTS = [
+    "The baker closed the shop at noon and went home.", "A moving van was parked at the gate for two days.", "The error of the estimate is three percent, which is small.",
+    "Die Seite des Buches zeigt eine alte Karte der Stadt.", "Cette page du livre montre une vieille carte.", "La página cuarenta del libro muestra un mapa antiguo.",
+    "这本书的第四十页有一张旧地图。", "In the lab a server farm used twice the power of the old one.", 'The clerk wrote "404 Not Found" on the board as a joke and all laughed.',
+    "A cookie recipe needs butter, sugar and flour.", "Two roads leave the village, one is short and steep.", "The function raises an error when the list is empty, so we check its length first.",
+    "Sum the digits and take the rest by nine.", "The bridge was closed for maintenance in spring, and the carters took the lower road.", "JavaScript was made in ten days, as the story goes.",
+    "The session of the council lasted until midnight.", "They lost the connection between the two proofs.", "The author of this script lives by the sea.",
+    "Der Zugang zum Hof liegt hinter dem alten Tor.", "L'accès au jardin se fait par la cour.",
+]
+
+
+def test_unseen_notices():
+    """Precision and recall on notices and on texts with their topics, on words that no list was made from alone."""
+    found = [t for t in UNSEEN_NOTICES if residue.label_of(t) == "notice"]
+    wrong = [t for t in UNSEEN_TEXTS if residue.label_of(t)]
+    print(f"notices: {len(found)} of {len(UNSEEN_NOTICES)}, texts taken for one: {wrong}")
+    assert len(found) >= 0.9 * len(UNSEEN_NOTICES) and len(wrong) <= 0.1 * len(UNSEEN_TEXTS)
+
+
 LONG_NOTICES = [
     "<html><head><title>Error</title></head><body>" + '<div class="wrapper outer-frame" data-role="none"></div>' * 30 + "<p>The page you requested could not be found.</p></body></html>",
     "\n".join(["Home | News | Archive | Forum | Shop | About"] * 30) + "\nAccess to this page is forbidden.",
