@@ -14,7 +14,7 @@ from millrace.functions import answers as A
 from millrace.operators import custom
 from millrace.operators import dataset as D
 from millrace.plans import curation
-from millrace.session import shared_folder
+from millrace.session import shared_folder, tables_folder
 from millrace.sources import readers, sinks
 from millrace.streaming import turns as T
 
@@ -91,16 +91,20 @@ add("turn_routes", lambda s, f: read(s, f, "rollouts").where("responses is not n
 
 # ---- streams: driven to completion over the whole table
 def _stream(s, f, make, mode):
+    """What the stream gave: an append stream, up to a row for each event, goes to files; the others, a row for each key or window, to the driver."""
     name = f"s{uuid.uuid4().hex}"
-    ev = s.readStream.schema(read(s, f, EV).schema).option("pathGlobFilter", "events.parquet").parquet(f).withColumn("ts", F.col("ts").cast("timestamp"))
-    q = make(ev).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(s)}/millrace/{name}").trigger(availableNow=True).start()
+    ev = s.readStream.schema(read(s, f, EV).schema).parquet(f"{f}/{EV}[.]parquet").withColumn("ts", F.col("ts").cast("timestamp"))  # as a pattern it may be a file or a folder
+    out = make(ev)
+    w = out.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", f"{shared_folder(s)}/millrace/{name}").trigger(availableNow=True)
+    path = f"{tables_folder(s)}/{name}"
+    q = w.format("parquet").start(path) if mode == "append" else w.format("memory").start()
     q.awaitTermination()
-    return s.table(name)
+    return s.read.schema(out.schema).parquet(path) if mode == "append" else s.table(name)
 
 
 add("stream_turn_states", lambda s, f: _stream(s, f, T.turn_states, "update").groupBy("user_id").agg(F.max("turns").alias("turns"), F.max("finished").alias("finished")))
 add("stream_window_counts", lambda s, f: _stream(s, f, T.windowed_counts, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
-add("stream_first_deliveries", lambda s, f: _stream(s, f, lambda e: T.first_deliveries(e, "event_id", "ts"), "append").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")), "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY event_type")
+add("stream_first_deliveries", lambda s, f: _stream(s, f, lambda e: T.first_deliveries(e, ["event_id", "event_type"], "ts").select("event_id", "event_type"), "append").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")), "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY event_type")
 # ---- sequential operators
 SIZED = "WITH q AS (SELECT DISTINCT seq_id, seq_id % 20 AS batch, len(input_ids) AS n FROM sequences WHERE input_ids IS NOT NULL)"
 

@@ -110,6 +110,6 @@ def windowed_counts(stream: DataFrame, time: str = "ts", late: str = "10 minutes
     return x.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def first_deliveries(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
-    """Each key once, within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+def first_deliveries(stream: DataFrame, key: str | list[str], time: str, late: str = "1 day") -> DataFrame:
+    """Each key, of one column or more, once, within the watermark."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key] if isinstance(key, str) else key)

@@ -228,3 +228,20 @@ def test_sequential_queries_cover_whole_tables(spark, sf):
     shares = q["custom_cluster_shares"](spark, sf).collect()
     assert sorted(r.uid for r in shares) == sorted(uids)
     assert q["scan_normalised_all"](spark, sf).count() == spark.read.parquet(f"{sf}/eval_items.parquet").where("question <> ''").count() > 100
+
+
+def test_first_deliveries_in_files(spark, tmp_path):
+    """The rows of the stream do not go to the driver, and a key is an event with its type, as in the SQL; the table may be a folder of files."""
+    import duckdb
+
+    from millrace import catalog
+
+    rows = [(i, f"2024-01-{d:02} 00:00:00", i % 7, k) for i in range(300) for d, k in [(1, "a"), (20, "a"), (20, "b")][: 1 + i % 3]]
+    ev = spark.createDataFrame([*rows, (None, None, 1, "a"), (5, None, 1, None)], "event_id long, ts string, user_id long, event_type string")
+    ev = ev.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    ev.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["stream_first_deliveries"](spark, str(tmp_path))
+    assert got.inputFiles()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(c.execute(catalog.sql()["stream_first_deliveries"]).fetchall(), key=repr)
