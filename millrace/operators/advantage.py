@@ -96,8 +96,10 @@ def rloo(df: DataFrame, group: str = "uid", score: str = "score") -> DataFrame:
 
 @estimator("opo")
 def opo(df: DataFrame, group: str = "uid", score: str = "score", length: str = "length") -> DataFrame:
-    """Baseline: the length-weighted mean of the group; 0 for a group of one."""
-    g = df.groupBy(group).agg(F.count(score).alias("n"), (F.sum(F.col(score) * F.col(length)) / F.sum(length)).alias("base"))
+    """Baseline: the length-weighted mean of the group, NaN where all lengths are 0; 0 for a group of one."""
+    total = F.sum(length)
+    base = F.when(total == 0, float("nan")).otherwise(F.sum(F.col(score) * F.col(length)) / total)
+    g = df.groupBy(group).agg(F.count(score).alias("n"), base.alias("base"))
     x = with_group(df, g, group)
     return x.withColumn("advantage", F.col(score) - F.when(F.col("n") == 1, 0.0).otherwise(F.col("base")))
 

@@ -245,3 +245,11 @@ def test_first_deliveries_in_files(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(c.execute(catalog.sql()["stream_first_deliveries"]).fetchall(), key=repr)
+
+
+def test_opo_empty_responses(spark):
+    """A group of empty responses has no weighted mean (NaN, as 0 / 0 in the SQL); alone in its group a response keeps its score."""
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 0.0, 1), ("b", 0.7, 0), ("c", 0.5, 0), ("c", 0.2, 0), ("d", 0.4, 0), ("d", 0.9, 2)], "uid string, score double, length int")
+    got = sorted((r.uid, r.score, r.advantage) for r in advantage.opo(df).collect())
+    assert [a for u, _, a in got if u != "c"] == pytest.approx([-0.75, 0.25, 0.7, -0.5, 0.0])
+    assert [math.isnan(a) for u, _, a in got if u == "c"] == [True, True]
